@@ -22,3 +22,22 @@ def local_session(cores: int | str = 8, memory: str = "8g", partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package as a zip, unless their Python path has it anyway; once per application."""
+    import os
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    home = Path(__file__).resolve().parent.parent
+    paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if home in {Path(p).resolve() for p in paths if p} or getattr(spark.sparkContext, "_tessitura_shipped", False):
+        return
+    archive = os.path.join(tempfile.mkdtemp(), "tessitura.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in (home / "tessitura").rglob("*.py"):
+            z.write(f, f.relative_to(home))
+    spark.sparkContext.addPyFile(archive)
+    spark.sparkContext._tessitura_shipped = True

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm import packing, records, shared
+from tessitura.llm import packing, quality, records, shared
 
 
 def vocabulary(name: str) -> str:
@@ -23,9 +23,52 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(shared.documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), "word", end_id=1)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = quality.ledger(shared.documents(spark, sf_dir))
+    return quality.verdicts(book).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+
+
+QUALITY_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),
+w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+        list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d),
+win AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2)),
+hot AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM hot) GROUP BY rid),
+trimmed AS (SELECT rid, list_transform(ls, lambda l: regexp_replace(regexp_replace(l, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')) AS tl FROM w),
+m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words,
+        coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+        (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+        (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+        coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+        len(ls) AS n_lines,
+        len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_letter_words,
+        len(list_filter(tl, lambda l: suffix(l, '...') OR suffix(l, '…'))) AS n_ellipsis_lines,
+        len(list_filter(tl, lambda l: starts_with(l, '- ') OR starts_with(l, '* ') OR starts_with(l, '• '))) AS n_bullet_lines,
+        coalesce(list_max(list_transform(ws, lambda x: strlen(x))), 0) AS longest_word,
+        len(list_filter(ws, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS n_upper_words,
+        length(t) - length(replace(t, '!', '')) AS n_exclaims
+      FROM w JOIN trimmed USING (rid) LEFT JOIN rep USING (rid)),
+b AS (SELECT *, ((n_words < 50)::INT
+        + 2 * (100 * n_repeat_words > 50 * n_words)::INT
+        + 4 * (n_words > 1000000)::INT
+        + 8 * coalesce(word_chars / nullif(n_words, 0) < 2, false)::INT
+        + 16 * coalesce(word_chars / nullif(n_words, 0) > 20, false)::INT
+        + 32 * coalesce(n_symbols / nullif(n_words, 0) > 0.1, false)::INT
+        + 64 * coalesce(n_dup_lines / nullif(n_lines, 0) > 0.5, false)::INT
+        + 128 * coalesce(n_letter_words / nullif(n_words, 0) < 0.5, false)::INT
+        + 256 * coalesce(n_ellipsis_lines / nullif(n_lines, 0) > 0.5, false)::INT
+        + 512 * coalesce(n_bullet_lines / nullif(n_lines, 0) > 0.9, false)::INT
+        + 1024 * (longest_word > 2000)::INT
+        + 2048 * coalesce(n_upper_words / nullif(n_words, 0) > 0.5, false)::INT
+        + 4096 * coalesce(n_exclaims / nullif(n_words, 0) > 0.5, false)::INT)::BIGINT AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 8187) = 0 AS kept, fail_bits FROM b
+"""
+
+
 def queries():
     return {k: f for k, f in globals().items() if k[:2] == "op" and callable(f)}
 
 
 def oracle_sql():
-    return {}
+    return {"op4_quality": QUALITY_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm import kkshard, packing, quality, records, shared
+from tessitura.llm import kkshard, packing, piecebpe, quality, records, shared
 
 
 def vocabulary(name: str) -> str:
@@ -70,6 +70,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kkshard.shard_by_bytes(shared.documents(spark, sf_dir), 8)
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecebpe.encode_documents(shared.documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k[:2] == "op" and callable(f)}
 

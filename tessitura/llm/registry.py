@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm import kkshard, packing, piecebpe, quality, records, shared
+from tessitura.llm import kkshard, langid, packing, piecebpe, quality, records, shared
 
 
 def vocabulary(name: str) -> str:
@@ -19,6 +19,12 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read(manifest, digests=True)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.documents(spark, sf_dir).withColumn("held_out", langid.held_out())
+    model = langid.train(docs.where(~F.col("held_out")))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(shared.documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), "word", end_id=1)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm import kkshard, langid, packing, piecebpe, quality, records, shared
+from tessitura.llm import blocks, kkshard, langid, packing, piecebpe, quality, records, shared
 
 
 def vocabulary(name: str) -> str:
@@ -72,6 +72,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
+def op8_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kkshard.shard_by_bytes(shared.documents(spark, sf_dir), 8)
 

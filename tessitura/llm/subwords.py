@@ -3,7 +3,7 @@
 Both vocabularies cut a text into pre-tokens first and merge inside each of them. A cut at a single space whose neighbours are not
 white space always falls between two pre-tokens, so the ids of a text are the ids of its space-delimited units one after another.
 Units repeat, so each worker keeps the library's ids of the units that it has met in a bounded table, and unknown units are handed
-to the library many at a time, a separator of one known id between them. Texts with other white space beside a space are cut only
+to the library many at a time. Texts with other white space beside a space are cut only
 where the rule holds.
 """
 
@@ -15,8 +15,8 @@ from itertools import filterfalse
 
 import numpy as np
 
-#: Units of a generation that a worker keeps; two generations take some 200 MB at most.
-CACHE_UNITS = 400_000
+#: Units of a generation that a worker keeps; two generations take some 300 MB at most.
+CACHE_UNITS = 600_000
 #: Longer units are encoded each time, so the table's memory stays bounded.
 CACHE_CHARS = 64
 
@@ -40,10 +40,16 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.tokenizer.model._resize_cache(0)  # units come here once; looking them up again costs more than it saves
         self.byte = style == "byte"
-        # Between two units: one id that no unit without this character has.
-        self.mark, self.between = ("\n", "\n ") if self.byte else ("\0", " \0 ")
-        (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        if self.byte:
+            # A unit with its space in front has one id that starts with a space: its first.
+            self.edge = np.array([t.startswith("\u0120") for t in tokens])
+        else:
+            # A unit of letters only is one pre-token, and one id that ends a word: its last.
+            self.edge = np.array([t.endswith("</w>") for t in tokens])
+            (self.mark_id,) = self.tokenizer.encode("\0", add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -51,18 +57,32 @@ class UnitEncoder:
         return [np.asarray(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, units: list[str]) -> dict[str, bytes]:
-        """The ids of units (for ``byte`` with a space before them), many in one call."""
+        """The ids of units (for ``byte`` with a space before them), many in one call; any whose count of edges is off, one by one."""
         out: dict[str, bytes] = {}
-        space = " " if self.byte else ""
-        plain = [u for u in units if u and self.mark not in u]
-        odd = [u for u in units if u and self.mark in u]
+        if self.byte:
+            plain, odd = units, []
+        else:
+            plain = [u for u in units if u.isalpha()]
+            odd = [u for u in units if u and not u.isalpha() and "\0" not in u]
+            rest = [u for u in units if "\0" in u]
+            chunks = [odd[i : i + 2000] for i in range(0, len(odd), 2000)]
+            odd = rest
+            for chunk, ids in zip(chunks, self._ids([" \0 ".join(c) for c in chunks]), strict=True):
+                marks = np.flatnonzero(ids == self.mark_id)
+                if len(marks) == len(chunk) - 1:
+                    out.update(zip(chunk, _cut(ids, np.append(0, marks + 1), np.append(marks, len(ids))), strict=True))
+                else:
+                    odd = odd + chunk
         chunks = [plain[i : i + 2000] for i in range(0, len(plain), 2000)]
-        for chunk, ids in zip(chunks, self._ids([space + self.between.join(c) for c in chunks]), strict=True):
-            marks = np.flatnonzero(ids == self.mark_id)
-            if len(marks) != len(chunk) - 1:
-                odd += chunk
-                continue
-            out.update(zip(chunk, (part.tobytes() for part in _cut(ids, marks)), strict=True))
+        space = " " if self.byte else ""
+        for chunk, ids in zip(chunks, self._ids([space + " ".join(c) for c in chunks]), strict=True):
+            edges = np.flatnonzero(self.edge[ids])
+            if len(edges) != len(chunk):
+                odd = odd + chunk
+            elif self.byte:
+                out.update(zip(chunk, _cut(ids, edges, np.append(edges[1:], len(ids))), strict=True))
+            else:
+                out.update(zip(chunk, _cut(ids, np.append(0, edges[:-1] + 1), edges + 1), strict=True))
         out.update(zip(odd, (x.tobytes() for x in self._ids([space + u for u in odd])), strict=True))
         if "" in units:
             out[""] = b""
@@ -112,7 +132,6 @@ class UnitEncoder:
         return [head + b"".join(parts) for head, parts in zip(heads, found, strict=True)]
 
 
-def _cut(ids: np.ndarray, marks: np.ndarray) -> list[np.ndarray]:
-    """The runs of ids between the marks, without them."""
-    starts, ends = np.append(0, marks + 1), np.append(marks, len(ids))
-    return [ids[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+def _cut(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    data, width = ids.tobytes(), ids.itemsize
+    return [data[a:b] for a, b in zip((starts * width).tolist(), (ends * width).tolist(), strict=True)]

@@ -165,30 +165,6 @@ def _forest(counts: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """The runs of rows that agree in the first ``keys`` columns of sorted batches; a run is at most some chunks long."""
-    held: list[pa.RecordBatch] = []
-
-    def cut(table: pa.Table) -> list[int]:
-        change = np.zeros(max(0, table.num_rows - 1), bool)
-        for k in range(keys):
-            x = np.asarray(table.column(k))
-            change |= x[1:] != x[:-1]
-        return [0, *(np.flatnonzero(change) + 1).tolist(), table.num_rows]
-
-    for batch in batches:
-        held.append(batch)
-        table = pa.Table.from_batches(held).combine_chunks()
-        at = cut(table)
-        for a, b in zip(at[:-2], at[1:-1], strict=True):
-            yield table.slice(a, b - a)
-        held = table.slice(at[-2]).to_batches() if table.num_rows else []
-    if held:
-        table = pa.Table.from_batches(held).combine_chunks()
-        if table.num_rows:
-            yield table
-
-
 def _pairs(out: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     a, b = zip(*out, strict=True) if out else ((), ())
     return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
@@ -208,7 +184,7 @@ def _strongest(lists: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[bytes, bytes]] = []
-        for group in _groups(batches, 2):
+        for group in shared.runs(batches, 2):
             if group.num_rows > 1:
                 nodes, n, sig = _arrays(group)
                 for i, j in _forest(_candidates(sig, n)):
@@ -235,7 +211,7 @@ def _between(lists: DataFrame, roots: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[bytes, bytes]] = []
-        for group in _groups(batches, 3):
+        for group in shared.runs(batches, 3):
             if group.num_rows < 2:
                 continue
             nodes, n, sig = _arrays(group)

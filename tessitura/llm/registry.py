@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm import blocks, kkshard, langid, minhash, packing, piecebpe, quality, records, shared
+from tessitura.llm import blocks, e8dedup, kkshard, langid, minhash, packing, piecebpe, quality, records, shared
 
 
 def vocabulary(name: str) -> str:
@@ -72,6 +72,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return e8dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(shared.documents(spark, sf_dir))
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import os
-import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -93,10 +91,6 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
-def fill(column):
-    return F.coalesce(column, F.lit(""))
-
-
 #: Words of a text are runs of anything but these six ASCII characters; ``bytes.split()`` cuts at exactly them.
 SPACES = b" \t\n\v\f\r"
 
@@ -114,5 +108,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def table_name(name: str) -> str:
-    return re.sub(r"\W+", "_", name)
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The runs of rows that agree in the first ``keys`` columns of sorted batches; a run is at most some chunks long."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(table: pa.Table) -> list[int]:
+        change = np.zeros(max(0, table.num_rows - 1), bool)
+        for k in range(keys):
+            x = np.asarray(table.column(k))
+            change |= x[1:] != x[:-1]
+        return [0, *(np.flatnonzero(change) + 1).tolist(), table.num_rows]
+
+    for batch in batches:
+        held.append(batch)
+        table = pa.Table.from_batches(held).combine_chunks()
+        at = cut(table)
+        for a, b in zip(at[:-2], at[1:-1], strict=True):
+            yield table.slice(a, b - a)
+        held = table.slice(at[-2]).to_batches() if table.num_rows else []
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        if table.num_rows:
+            yield table

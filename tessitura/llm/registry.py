@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm import blocks, e8dedup, kkshard, langid, minhash, packing, piecebpe, quality, records, shared
+from tessitura.llm import blocks, e8dedup, kkshard, knlm, langid, minhash, packing, piecebpe, quality, records, shared
 
 
 def vocabulary(name: str) -> str:
@@ -80,6 +80,12 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(shared.documents(spark, sf_dir))
 
 
+def op7_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = shared.documents(spark, sf_dir).withColumn("held_out", langid.held_out(folds=7))
+    model = knlm.train(docs.where(~F.col("held_out")), shared.shared_dir(spark, "lm"))
+    return knlm.score(docs, model, keep=("doc_id", "held_out"))
+
+
 def op8_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 

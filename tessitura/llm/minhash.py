@@ -19,8 +19,8 @@ exactly, up to the signatures' error above.
 Verification reads the texts of candidate nodes again and intersects sorted arrays of 64-bit shingle hashes.
 
 Nulls: a null text is empty; a text without words has no shingles (size 0) and links with nothing; one with fewer than ``width`` words
-is one shingle. Rows with a null id take part (the smallest id that is not null names a component). Equal rows fall into one node. An
-empty table gives no row. Extra columns are not read.
+is one shingle. Rows with a null id take part: the smallest id that is not null names a component, and they are kept only if all ids of
+their component are null. Equal rows fall into one node. An empty table gives no row. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -293,4 +293,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = named.join(smallest, "root").select("node", "component_id")
     out = described.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without all but one of each group of near duplicates; a repeated row stays once."""
+    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"), F.col(f"`{text_col}`").alias("t"))
+    found = near_duplicates(rows, "key", "t").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    rows = rows.join(found.where("kept").select(F.col("doc_id").alias("key"), "n"), "key")
+    return rows.where("n = 1").select("row.*").union(rows.where("n > 1").dropDuplicates(["key", "t"]).select("row.*"))

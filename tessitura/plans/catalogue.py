@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from tessitura.operators import kernel, ngrams, relational, trends  # noqa: F401  (they register their queries)
+from tessitura.plans import register, store
+
 
 def queries():
-    return {}
+    return dict(register.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return {name: store.oracle(sql) for name, sql in register.ORACLES.items()}

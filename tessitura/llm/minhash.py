@@ -1,22 +1,22 @@
 """MinHash near-duplicates by an inverted join on signature coordinates.
 
 A document is its set of distinct word shingles. Documents with equal sets are one node (a 128-bit fingerprint of the whole set), so
-copies cost nothing further. A node's signature has ``K`` coordinates; for a pair of Jaccard similarity 0.75 the number of equal
-coordinates follows Bin(48, 0.75) and is under ``MATCHES`` = 19 with a probability under 2e-7.
-
-*Inverted lists.* A node is posted under every coordinate-value pair. Pairs that only one node has (most) hold no candidate and are
-dropped after a map-side aggregated count; a node with fewer than MATCHES live pairs cannot reach the threshold and leaves.
-*Prefix and skip.* Two nodes with MATCHES equal coordinates share one of the K - MATCHES + 1 rarest of each, in one global order. So a
-node is listed under these alone (its dead pairs come first and need no list); the longest lists are skipped, and the count of equal
-coordinates over all of them is completed from the signatures when two nodes meet.
-*Merging a list.* Lists longer than ``CHUNK`` are cut by a hash of the node into chunks that also get the list's smallest node, so no
-task holds a list. In a chunk, candidates (MATCHES equal coordinates, sizes that allow the similarity) are reduced to a spanning forest
-of the strongest; its edges are verified on the full sets of shingles and give components.
-*Rest.* Similarity is not transitive, so lists that still hold several components are merged once more, chunk against chunk, and
-every candidate between two components that was not verified before goes to verification. Nothing is capped: links decide components
-exactly, up to the signatures' error above.
-
-Verification reads the texts of candidate nodes again and intersects sorted arrays of 64-bit shingle hashes.
+copies cost nothing further. A node's signature has ``K`` coordinates, the first ``POST`` of which are posted. For a pair of Jaccard
+similarity 0.75 equal coordinates follow a binomial law: with a probability under 2e-7 there are fewer than ``SHARED`` = 19 among the
+48 posted ones, or fewer than ``MATCHES`` = 70 among all 128.
+
+*Inverted lists.* A node is posted under its coordinate-value pairs. Pairs that only one node has (most) hold no candidate and are
+dropped after a map-side aggregated count; a node with fewer than SHARED live pairs cannot reach the threshold and leaves.
+*Prefix and skip.* Two nodes with SHARED equal posted coordinates share one of the POST - SHARED + 1 rarest of each, in one global
+order. So a node is listed under these alone (its dead pairs come first and need no list); the longest lists are skipped, and the count
+of equal coordinates is completed from the signatures when two nodes meet.
+*Merging a list.* Lists longer than ``CHUNK`` are cut by a hash of the node and merged chunk against chunk, so no task holds a list.
+Candidates (MATCHES equal coordinates, sizes that allow the similarity) never leave the merge as pairs: it returns a spanning forest of
+the strongest. Its edges are verified on the full sets of shingles and give components; unverified, they give families, which hold every
+candidate pair.
+*Rest.* Similarity is not transitive, so a family that still holds several components is compared exactly: its nodes' full sets meet
+chunk against chunk, nodes of the largest component only with the others, and a spanning forest of the links found comes back. Nothing is
+capped: links decide components exactly, up to the signatures' error above.
 
 Nulls: a null text is empty; a text without words has no shingles (size 0) and links with nothing; one with fewer than ``width`` words
 is one shingle. Rows with a null id take part: the smallest id that is not null names a component, and they are kept only if all ids of
@@ -30,14 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.llm import components, shared
 
-K, MATCHES = 48, 19
+K, MATCHES = 128, 70
+POST, SHARED = 48, 19
 WIDTH, PERCENT = 5, 75
-CHUNK = 512
+#: Nodes of a list's, and of a family's, chunk.
+CHUNK, FAMILY_CHUNK = 1024, 256
 #: Nodes whose ids may be broadcast for the second reading of texts (some 40 bytes each); more are joined by a shuffle.
 BROADCAST_NODES = 500_000
 
@@ -45,32 +47,12 @@ _RANDOM = np.random.default_rng(20240607)
 _ODD = _RANDOM.integers(0, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASK = _RANDOM.integers(0, 1 << 63, K, dtype=np.uint64)
 _POWERS = _RANDOM.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_KNOWN: dict[bytes, int] = {}
-_KNOWN_MOST = 500_000
-
-
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    import xxhash
-
-    get = _KNOWN.get
-    found = list(map(get, words))
-    if None in found:
-        if len(_KNOWN) > _KNOWN_MOST:
-            _KNOWN.clear()
-        for i, h in enumerate(found):
-            if h is None:
-                h = found[i] = xxhash.xxh3_64_intdigest(words[i])
-                if len(words[i]) <= 64:
-                    _KNOWN[words[i]] = h
-    return np.array(found, np.uint64)
-
-
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """The sorted 64-bit hashes of a text's distinct shingles of ``width`` words, A-Z in lower case."""
     words = shared.lowered(text).split() if text else []
     if not words:
         return np.empty(0, np.uint64)
-    hashes = _word_hashes(words)
+    hashes = shared.word_hashes(words)
     n = max(1, len(words) - width + 1)
     total = np.full(n, min(len(words), width), np.uint64)
     for i in range(min(width, len(words))):
@@ -84,9 +66,13 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
 def signature(hashes: np.ndarray) -> np.ndarray:
     """K coordinates (uint32) of a set that is not empty."""
     least = np.full(K, np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(hashes), 4096):
-        part = hashes[a : a + 4096]
-        np.minimum(least, ((part ^ _MASK[:, None]) * _ODD[:, None]).min(axis=1), out=least)
+    space = np.empty((K, min(512, len(hashes))), np.uint64)
+    for a in range(0, len(hashes), 512):
+        part = hashes[a : a + 512]
+        x = space[:, : len(part)]
+        np.bitwise_xor(part, _MASK[:, None], out=x)
+        np.multiply(x, _ODD[:, None], out=x)
+        np.minimum(least, x.min(axis=1), out=least)
     return (least >> np.uint64(32)).astype("<u4")
 
 
@@ -95,45 +81,45 @@ def fingerprint(hashes: np.ndarray) -> bytes:
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """d, n and, null without shingles, node, sig (four bytes a coordinate) and sig16 (two bytes a coordinate) of every row."""
+    """d, n and, null without shingles, node, posted (POST coordinates of four bytes) and sig (K of one byte) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.sliced(batches, "t"):
-            ns, nodes, sigs, halves = [], [], [], []
+            ns, nodes, posted, sigs = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text)
                 sig = signature(s) if len(s) else None
                 ns.append(len(s))
                 nodes.append(fingerprint(s) if len(s) else None)
-                sigs.append(sig.tobytes() if len(s) else None)
-                halves.append(sig.astype("<u2").tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), *(pa.array(x, pa.binary()) for x in (nodes, sigs, halves))], names=["d", "n", "node", "sig", "sig16"])
+                posted.append(sig[:POST].tobytes() if len(s) else None)
+                sigs.append(sig.astype("u1").tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), *(pa.array(x, pa.binary()) for x in (nodes, posted, sigs))], names=["d", "n", "node", "posted", "sig"])
 
-    return docs.mapInArrow(run, "d long, n long, node binary, sig binary, sig16 binary")
+    return docs.mapInArrow(run, "d long, n long, node binary, posted binary, sig binary")
 
 
 def _posts(nodes: DataFrame) -> DataFrame:
-    """key (coordinate number and value) and node, K rows for each node."""
+    """key (coordinate number and value) and node, POST rows for each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = np.arange(K, dtype=np.int64) << 32
+        base = np.arange(POST, dtype=np.int64) << 32
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, K)
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, POST)
             keys = (sig.astype(np.int64) + base).ravel()
-            at = pa.array(np.repeat(np.arange(batch.num_rows), K))
+            at = pa.array(np.repeat(np.arange(batch.num_rows), POST))
             yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(at)], names=["key", "node"])
 
-    return nodes.select("node", "sig").mapInArrow(run, "key long, node binary")
+    return nodes.select("node", "posted").mapInArrow(run, "key long, node binary")
 
 
 def _listed(nodes: DataFrame) -> DataFrame:
-    """key, freq, node, n and sig16: the lists of the inverted join."""
+    """key, freq, node, n and sig: the lists of the inverted join."""
     posts = _posts(nodes)
     live = posts.groupBy("key").agg(F.count("*").alias("freq")).where("freq > 1")
     ranked = posts.join(live, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("freq", "key"))).alias("pairs"))
-    heads = ranked.where(F.size("pairs") >= MATCHES).select("node", F.slice("pairs", F.lit(1), F.size("pairs") - (MATCHES - 1)).alias("head"))
-    joined = heads.join(nodes.select("node", "n", "sig16"), "node")
-    return joined.select(F.explode("head").alias("h"), "node", "n", "sig16").select("h.key", "h.freq", "node", "n", "sig16")
+    heads = ranked.where(F.size("pairs") >= SHARED).select("node", F.slice("pairs", F.lit(1), F.size("pairs") - (SHARED - 1)).alias("head"))
+    joined = heads.join(nodes.select("node", "n", "sig"), "node")
+    return joined.select(F.explode("head").alias("h"), "node", "n", "sig").select("h.key", "h.freq", "node", "n", "sig")
 
 
 def _candidates(sig: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -171,93 +157,118 @@ def _pairs(out: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
 
 
 def _arrays(group: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    sig = np.frombuffer(b"".join(group.column("sig16").to_pylist()), "<u2").reshape(-1, K)
+    sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "u1").reshape(-1, K)
     return group.column("node").to_pylist(), np.asarray(group.column("n")), sig
 
 
+def _against(rows: DataFrame, chunks: Column, *columns: str) -> DataFrame:
+    """Every row once for each pair of chunks that its own is part of: i and j (i <= j), own, and ``columns``."""
+    rows = rows.withColumn("c", chunks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    return rows.select(*columns, F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own")
+
+
 def _strongest(lists: DataFrame) -> DataFrame:
-    """First merge: spanning forests of the chunks."""
-    chunks = F.ceil(F.col("freq") / CHUNK).cast("int")
-    rows = lists.select("key", F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"), "node", "n", "sig16")
-    anchors = lists.where(F.col("freq") > CHUNK).groupBy("key").agg(F.min(F.struct("node", "n", "sig16")).alias("x"), F.first(chunks).alias("c"))
-    anchors = anchors.select("key", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("chunk"), "x.node", "x.n", "x.sig16")
+    """First merge: spanning forests of the strongest candidates of each list's chunks."""
+    rows = _against(lists, F.ceil(F.col("freq") / CHUNK).cast("int"), "key", "node", "n", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[bytes, bytes]] = []
-        for group in shared.runs(batches, 2):
+        out: set[tuple[bytes, bytes]] = set()
+        for group in shared.runs(batches, 3):
             if group.num_rows > 1:
                 nodes, n, sig = _arrays(group)
-                for i, j in _forest(_candidates(sig, n)):
-                    if nodes[i] != nodes[j]:
-                        out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
-            if len(out) > 10_000:
-                yield _pairs(list(set(out)))
-                out = []
-        yield _pairs(list(set(out)))
-
-    dealt = rows.union(anchors).repartition("key", "chunk").sortWithinPartitions("key", "chunk", "node")
+                counts = _candidates(sig, n)
+                if group.column("i")[0] != group.column("j")[0]:
+                    own = np.asarray(group.column("own"))
+                    counts[own[:, None] == own[None, :]] = 0
+                out.update((min(nodes[a], nodes[b]), max(nodes[a], nodes[b])) for a, b in _forest(counts))
+            if len(out) > 20_000:
+                yield _pairs(list(out))
+                out.clear()
+        yield _pairs(list(out))
+
+    dealt = rows.select("key", "i", "j", "own", "node", "n", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def _between(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """Second merge: every candidate pair of two components that share a list, in the first list that both have."""
-    rows = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    rows = rows.join(mixed, "key", "left_semi")
-    chunks = F.ceil(F.col("freq") / CHUNK).cast("int")
-    rows = rows.withColumn("c", chunks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("c") - 1))
-    rows = rows.withColumn("o", other).select("key", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "node", "n", "root", "sig16")
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = counts[at] > 1
+    place = (np.cumsum(counts > 1) - 1)[at[several]]
+    owner = owner[several]
+    out, width = np.zeros((n, n), np.float32), max(1, (1 << 22) // n)
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    edges = np.searchsorted(place, np.arange(0, (int(place[-1]) if len(place) else -1) + width + 1, width))
+    for k in range(len(edges) - 1):
+        part = slice(edges[k], edges[k + 1])
+        if edges[k] < edges[k + 1]:
+            block = np.zeros((n, width), np.float32)
+            block[owner[part], place[part] - k * width] = 1
+            out += block @ block.T
+    return out
+
+
+def _within(families: DataFrame) -> DataFrame:
+    """Second merge: links of families (family, node, root, major, size, body), as spanning forests of pairs of chunks. A node of the
+    largest component meets only the chunks of the others."""
+    minors = families.where(~F.col("major")).groupBy("family").agg(F.ceil(F.count("*") / FAMILY_CHUNK).cast("int").alias("cm"))
+    majors = families.where("major").groupBy("family").agg(F.ceil(F.count("*") / FAMILY_CHUNK).cast("int").alias("cj"))
+    rows = families.join(minors, "family").join(majors, "family")
+    spot = F.xxhash64("node")
+    own = F.when(F.col("major"), F.col("cm") + F.pmod(spot, F.col("cj"))).otherwise(F.pmod(spot, F.col("cm"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("major"), F.col("cm") - 1).otherwise(F.col("cm") + F.col("cj") - 1))
+    rows = rows.withColumn("own", own).withColumn("o", F.explode(others))
+    rows = rows.select("family", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "root", "node", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[bytes, bytes]] = []
+        out: set[tuple[bytes, bytes]] = set()
         for group in shared.runs(batches, 3):
-            if group.num_rows < 2:
-                continue
-            nodes, n, sig = _arrays(group)
-            own = np.asarray(group.column("own"))
-            labels = group.column("root").to_pylist()
-            names = {r: k for k, r in enumerate(dict.fromkeys(labels))}
-            if len(names) < 2:
-                continue
-            root = np.array([names[r] for r in labels])
-            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            left = np.flatnonzero(own == i)
-            right = left if i == j else np.flatnonzero(own == j)
-            for a in left.tolist():
-                bs = right[right > a] if i == j else right
-                bs = bs[root[bs] != root[a]]
-                ok = ((sig[bs] == sig[a]).sum(axis=1) >= MATCHES) & (100 * np.minimum(n[bs], n[a]) >= PERCENT * np.maximum(n[bs], n[a]))
-                out += [(min(nodes[a], nodes[b]), max(nodes[a], nodes[b])) for b in bs[ok].tolist()]
-                if len(out) > 10_000:
-                    yield _pairs(out)
-                    out = []
-        yield _pairs(out)
-
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+            roots = group.column("root").to_pylist()
+            if len(set(roots)) > 1:
+                nodes = group.column("node").to_pylist()
+                sets = [np.frombuffer(x, np.uint64) for x in group.column("body").to_pylist()]
+                both, n = _common(sets), np.array([len(x) for x in sets])
+                linked = 100 * both >= PERCENT * (n[:, None] + n[None, :] - both)
+                np.fill_diagonal(linked, False)
+                out.update((min(nodes[a], nodes[b]), max(nodes[a], nodes[b])) for a, b in _forest(linked.astype(np.uint8)))
+            if len(out) > 20_000:
+                yield _pairs(list(out))
+                out.clear()
+        yield _pairs(list(out))
+
+    dealt = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
     return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs a, b whose full sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = shared.staged(wanted.join(nodes.select("node", "d"), "node"), "candidates")
+def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and body (its sorted 64-bit shingle hashes) of the wanted nodes (node, d), from a second reading of the texts."""
+    wanted = shared.staged(wanted, "candidates")
     texts = docs.withColumnRenamed("d", "d2")
-    same = F.col("d").eqNullSafe(F.col("d2"))
     # The size is checked; without the hint Spark joins by a shuffle.
-    found = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted, same)
+    found = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted, F.col("d").eqNullSafe(F.col("d2")))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.sliced(batches, "t"):
-            nodes_, bodies = [], []
+            nodes, bodies = [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingles(text)
                 if len(s) and fingerprint(s) == node:  # else another row with the same id
-                    nodes_.append(node)
+                    nodes.append(node)
                     bodies.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes_, pa.binary()), pa.array(bodies, pa.binary())], names=["node", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(bodies, pa.binary())], names=["node", "body"])
+
+    # Rows of equal sets and ids meet first.
+    return shared.staged(found.select("node", "t").mapInArrow(run, "node binary, body binary").dropDuplicates(["node"]), "sets")
+
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The pairs a, b whose full sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.sliced(batches, "y"):
             out = []
             for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -267,25 +278,34 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
                     out.append((a, b))
             yield _pairs(out)
 
-    # A node's set is made once: rows of equal sets and ids meet first.
-    bodies = shared.staged(found.select("node", "t").mapInArrow(sets, "node binary, body binary").dropDuplicates(["node"]), "sets")
     left = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a")
     both = left.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(alike, "a binary, b binary")
+    return both.mapInArrow(run, "a binary, b binary")
+
+
+def _undecided(candidates: DataFrame, roots: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The families of three and more nodes that hold several components, with their sets; major: in the largest component."""
+    families = components.components(candidates, "a", "b").select("node", F.col("root").alias("family"))
+    rows = families.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = rows.groupBy("family", "root").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("c"), F.sum("n").alias("n")).where("c > 1 AND n > 2")
+    rows = rows.join(largest.select("family", "largest"), "family").join(bodies, "node")
+    return rows.select("family", "node", "root", (F.col("root") == F.col("largest")).alias("major"), "body")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id that links reach) and kept of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
     described = shared.staged(_described(rows), "signatures")
-    nodes = described.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("d").alias("d"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sig16").alias("sig16"))
+    nodes = described.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("d").alias("d"), F.first("n").alias("n"), F.first("posted").alias("posted"), F.first("sig").alias("sig"))
     nodes = shared.staged(nodes, "nodes")
     lists = shared.staged(_listed(nodes), "lists")
-    first = shared.staged(_strongest(lists), "pairs")
-    links = shared.staged(_verified(rows, nodes, first), "verified")
+    candidates = shared.staged(_strongest(lists), "pairs")
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    bodies = _bodies(rows, wanted.join(nodes.select("node", "d"), "node"))
+    links = shared.staged(_verified(candidates, bodies), "verified")
     roots = components.components(links, "a", "b")
-    rest = shared.staged(_between(lists, roots).join(first, ["a", "b"], "left_anti"), "pairs")
-    more = shared.staged(_verified(rows, nodes, rest), "verified")
+    more = shared.staged(_within(_undecided(candidates, roots, bodies)), "verified")
     if not more.isEmpty():
         roots = components.components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "a", "b")
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "root", "d")

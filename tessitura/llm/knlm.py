@@ -43,27 +43,9 @@ MOST_BUCKETS = 1 << 14
 ROWS = "kind string, bucket int, body binary, note string"
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_HASHES: dict[bytes, int] = {}
-_HASHES_MOST = 500_000
 _MAPPED: dict[str, np.ndarray] = {}
 
 
-def hashes(words: list[bytes]) -> np.ndarray:
-    import xxhash
-
-    get = _HASHES.get
-    found = list(map(get, words))
-    if None in found:
-        if len(_HASHES) > _HASHES_MOST:
-            _HASHES.clear()
-        for i, h in enumerate(found):
-            if h is None:
-                h = found[i] = xxhash.xxh3_64_intdigest(words[i])
-                if len(words[i]) <= 64:
-                    _HASHES[words[i]] = h
-    return np.array(found, np.uint64)
-
-
 def short(h: np.ndarray) -> np.ndarray:
     return h >> np.uint64(16)
 
@@ -83,10 +65,10 @@ def tokenized(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         starts.append(len(words))
         words += shared.lowered(t).split()
         words.append(END)
-    w = hashes(words)
+    w = shared.word_hashes(words)
     v = np.empty_like(w)
     v[1:] = w[:-1]
-    v[starts] = hashes([START])[0]
+    v[starts] = shared.word_hashes([START])[0]
     return w, v, np.array(starts, np.int64)
 
 

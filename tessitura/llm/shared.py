@@ -104,6 +104,30 @@ def lowered(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower()
 
 
+#: Words whose hashes a worker keeps; two generations take some 150 MB at most.
+KNOWN_WORDS = 400_000
+_KNOWN: dict[bytes, bytes] = {}
+_OLDER: dict[bytes, bytes] = {}
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words."""
+    global _KNOWN, _OLDER
+    import xxhash
+
+    found = list(map(_KNOWN.get, words))
+    if None in found:
+        if len(_KNOWN) > KNOWN_WORDS:
+            _KNOWN, _OLDER = {}, _KNOWN
+        for i, h in enumerate(found):
+            if h is None:
+                word = words[i]
+                h = found[i] = _OLDER.get(word) or xxhash.xxh3_64_intdigest(word).to_bytes(8, "little")
+                if len(word) <= 64:
+                    _KNOWN[word] = h
+    return np.frombuffer(b"".join(found), "<u8")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -375,5 +375,5 @@ def genre_tags(value) -> Column:
     """Quoted names of a list, or the parts of a comma list; null and blank have none."""
     v = clean_value(value)
     quoted = F.regexp_extract_all(v, F.lit("'([^']+)'"), F.lit(1))
-    listed = F.filter(F.transform(F.split(v, ","), F.trim), lambda x: x != "")
+    listed = F.filter(F.transform(F.split(v, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.coalesce(F.when(F.size(quoted) > 0, quoted).otherwise(listed), F.array().cast("array<string>"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessitura.functions import chords
 from tessitura.plans.register import query
-from tessitura.plans.store import table
+from tessitura.plans.store import Store, table
 
 #: Thresholds, scaled to the derived corpus.
 TOP_TARGETS, MIN_WINDOWS, MIN_COUNT, TOP_K, MIN_DOCUMENT_COUNT, ALPHA = 50, 500, 5, 25, 20, 0.5
@@ -125,3 +129,25 @@ query("agg_stratification_audit", """SELECT kind, groups, songs, smallest, round
     UNION ALL SELECT 'artist', artist_id, count(*) FROM songs GROUP BY artist_id UNION ALL SELECT 'genre_decade', main_genre || ':' || CAST(decade AS STRING), count(*) FROM songs GROUP BY main_genre, decade) g GROUP BY kind) x""")
 query("agg_strata_summary", "SELECT t.stype, t.n, count(*) AS strata, CAST(sum(t.total_windows) AS BIGINT) AS windows, min(t.total_windows) AS least, median(t.total_windows) AS median, max(t.total_windows) AS most, CAST(sum(s.song_count) AS BIGINT) AS songs FROM stratum_totals t JOIN stratum_songs s ON t.stype = s.stype AND t.svalue = s.svalue GROUP BY t.stype, t.n")
 query("agg_metadata_profile", "SELECT decade, main_genre, count(*) AS songs, count(rock_genre) AS with_rock_genre, count(track_id) AS with_track, count(DISTINCT artist_id) AS artists FROM songs GROUP BY decade, main_genre")
+
+_DUCK_FAMILY = """CASE WHEN len(list_distinct(t)) = 1 THEN t[1] || ' loop' WHEN t[1] = t[3] AND (n = 3 OR t[2] = t[4]) THEN t[1] || ' ' || t[2] || ' loop'
+    WHEN n = 4 AND t[1] = t[4] THEN t[1] || ' ' || t[2] || ' ' || t[3] || ' loop' ELSE t[1] || ' ' || t[2] || ' ' || t[3] END"""
+
+
+@table("labelled", duck=f"SELECT n, hkey, example, {_DUCK_FAMILY} AS family FROM (SELECT n, hkey, example, string_split(example, ' ') AS t FROM supported)")
+def labelled(store: Store) -> DataFrame:
+    """Supported classes with the progression family of their example."""
+    return store.table("supported").select("n", "hkey", "example", chords.progression_family("example")["family"].alias("family"))
+
+
+_NS = "array_join(array_sort(collect_set({n})), ',')", "string_agg(DISTINCT {n}::VARCHAR, ',' ORDER BY {n}::VARCHAR)"
+_BEST = "max_by({x}, struct({by}, {x}))", "first({x} ORDER BY {by} DESC, {x} DESC)"
+_DECADE = "SELECT family, direction, classes, ns, total, best FROM (SELECT l.family, CASE WHEN s.delta > 0 THEN 'rise' ELSE 'decline' END AS direction, count(*) AS classes, {ns} AS ns, round(sum(abs(s.delta)), 7) AS total, {best} AS best FROM ranked_shifts s JOIN labelled l ON s.n = l.n AND s.hkey = l.hkey GROUP BY l.family, CASE WHEN s.delta > 0 THEN 'rise' ELSE 'decline' END) x"
+_GENRE = "SELECT l.genre, f.family, count(*) AS classes, {ns} AS ns, round(max(l.lift), 6) AS best_lift, CAST(sum(l.cnt) AS BIGINT) AS support, {best} AS best FROM lifts l JOIN labelled f ON l.n = f.n AND l.hkey = f.hkey WHERE l.lift >= 1 GROUP BY l.genre, f.family"
+table_sql = [_DECADE.format(ns=_NS[k].format(n="s.n"), best=_BEST[k].format(x="s.hkey", by="abs(s.delta)")) for k in (0, 1)]
+genre_sql = [_GENRE.format(ns=_NS[k].format(n="l.n"), best=_BEST[k].format(x="l.hkey", by="round(l.lift, 9)")) for k in (0, 1)]
+query("decade_families", *table_sql)
+query("genre_families", *genre_sql)
+query("agg_family_summary", "SELECT family, count(*) AS classes, min(n) AS shortest, max(n) AS longest FROM labelled GROUP BY family")
+_FINDINGS = "SELECT {f} AS finding FROM (SELECT l.family, s.first_decade, s.last_decade, s.delta, row_number() OVER (ORDER BY abs(s.delta) DESC, s.n, s.hkey) AS r FROM ranked_shifts s JOIN labelled l ON s.n = l.n AND s.hkey = l.hkey) x WHERE r <= 10"
+query("family_findings", _FINDINGS.format(f="concat(family, ' moved by ', format_string('%.4f', 100 * delta), ' points from ', first_decade, ' to ', last_decade)"), _FINDINGS.format(f="family || ' moved by ' || printf('%.4f', 100 * delta) || ' points from ' || first_decade || ' to ' || last_decade"))

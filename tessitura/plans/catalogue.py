@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessitura.operators import kernel, ngrams, relational, trends  # noqa: F401  (they register their queries)
+from tessitura.operators import classify, embeddings, kernel, language_model, ngrams, relational, similarity, trends  # noqa: F401  (they register their queries)
 from tessitura.plans import register, store
 
 

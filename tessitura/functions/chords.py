@@ -309,9 +309,14 @@ def first_root_normalized_key(ngram, include_bass: bool = True) -> Column:
 
 
 def canonical_transposition_key(masks) -> Column:
-    """The smallest key over the twelve transpositions."""
+    """The smallest key over the twelve transpositions: moving all masks turns the key's rows, so the bit text turns by n at a time."""
+
+    def least(p: Column) -> Column:
+        turned = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda s: F.concat(F.substring(p["bits"], s * p["n"] + 1, F.length(p["bits"])), F.substring(p["bits"], F.lit(1), s * p["n"])))
+        return F.concat(p["n"].cast("string"), F.lit(":"), F.array_min(turned))
+
     m = _text(masks)
-    return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda s: matrix_key(F.transform(m, lambda x: rotated(x, s)))))
+    return let(F.struct(F.size(m).alias("n"), F.substring_index(matrix_key(m), ":", -1).alias("bits")), least)
 
 
 def harmonic_key_l2(left, right) -> Column:

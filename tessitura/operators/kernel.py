@@ -120,7 +120,7 @@ def chord_3channel(store: Store) -> DataFrame:
     return _dimension(store).select("token", t["core"].alias("core"), t["ext"].alias("ext"), t["bass"].alias("bass"))
 
 
-@query("song_matrix", duck="SELECT song_id, count(*)::INTEGER AS length, sum(mask * (pos + 1))::BIGINT AS digest FROM tokens WHERE song_id % 10 >= 0 GROUP BY song_id")
+@query("song_matrix", duck="SELECT song_id, count(*)::INTEGER AS length, sum(mask * (pos + 1))::BIGINT AS digest FROM tokens GROUP BY song_id")
 def song_matrix(store: Store) -> DataFrame:
     """Masks of each song in order; the digest weighs each with its place."""
     order = F.array_sort(F.collect_list(F.struct("pos", "mask")))
@@ -165,11 +165,10 @@ def first_root_normalized_key(store: Store) -> DataFrame:
 _SHIFTED = DUCK_KEY.replace("('0x' || substr(hkey, (3 * i + 1)::INTEGER, 3))::INTEGER >> p::INTEGER", "('0x' || substr(hkey, (3 * i + 1)::INTEGER, 3))::INTEGER >> ((p + 12 - s) % 12)::INTEGER")
 
 
-@query("canonical_transposition_key", duck=f"SELECT n, hkey, min({_SHIFTED}) AS canonical FROM harm, range(12) r(s) WHERE n = 3 AND cnt >= 20 GROUP BY n, hkey")
+@query("canonical_transposition_key", duck=f"SELECT n, hkey, min({_SHIFTED}) AS canonical FROM harm, range(12) r(s) WHERE n = 3 GROUP BY n, hkey")
 def canonical_transposition_key(store: Store) -> DataFrame:
-    h = store.table("harm").where("n = 3 AND cnt >= 20")
     masks = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.conv(F.substring("hkey", 3 * i + 1, F.lit(3)), 16, 10).cast("int"))
-    return h.select("n", "hkey", c.canonical_transposition_key(masks).alias("canonical"))
+    return store.table("harm").where("n = 3").select("n", "hkey", c.canonical_transposition_key(masks).alias("canonical"))
 
 
 @query(

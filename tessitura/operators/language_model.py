@@ -53,11 +53,11 @@ query("lm_unknown_source", f"SELECT target, round(p, 8) AS p FROM ({mixture(requ
 query("lm_style_compare", f"""SELECT rid, target, p FROM (SELECT rid, target, round(p, 8) AS p, row_number() OVER (PARTITION BY rid ORDER BY round(p, 8) DESC, target) AS r FROM ({mixture(" UNION ALL ".join(request(str(i), _FIRST, None, f"'{g}'", None) for i, g in enumerate(("en", "fr", "de"))))}) d) x WHERE r <= 5""")
 query("lm_artist_support", "SELECT value AS artist, source, source_count FROM source_support WHERE split = 'train' AND scope = 'artist' AND source_count >= 10")
 
-table("lm_events", f"SELECT CAST(rid AS BIGINT) AS rid, song_id, n, source, target, decade, main_genre, artist_id FROM (SELECT *, row_number() OVER (ORDER BY song_id, n, position) AS rid FROM transitions WHERE split = 'test') x WHERE rid <= 2000")
+table("lm_events", "SELECT song_id, n, position, source, target, decade, main_genre, artist_id, concat_ws('|', source, artist_id, main_genre, decade) AS rid FROM transitions WHERE split = 'test'", view=True)
 #: Each distinct condition is mixed once; events join its distribution.
-table("lm_conditions", "SELECT CAST(row_number() OVER (ORDER BY n, source, artist_id, main_genre, decade) AS BIGINT) AS rid, n, source, artist_id, main_genre, decade FROM (SELECT DISTINCT n, source, artist_id, main_genre, decade FROM lm_events) x")
+table("lm_conditions", "SELECT rid, n, source, min(artist_id) AS artist_id, min(main_genre) AS main_genre, min(decade) AS decade FROM lm_events GROUP BY rid, n, source")
 table("lm_distributions", mixture("SELECT c.rid, c.n, c.source, z.scope, CASE z.scope WHEN 'global' THEN 'all' WHEN 'decade' THEN c.decade WHEN 'genre' THEN c.main_genre ELSE c.artist_id END AS value FROM lm_conditions c CROSS JOIN (VALUES ('global'), ('decade'), ('genre'), ('artist')) z(scope)"))
-table("lm_scored", """SELECT e.rid, e.n, coalesce(d.place, 999999) AS place, greatest(coalesce(d.p, 0.0), 0.000000000001) AS p FROM lm_events e JOIN lm_conditions c ON e.n = c.n AND e.source = c.source AND e.artist_id = c.artist_id AND e.main_genre = c.main_genre AND e.decade = c.decade
-    LEFT JOIN (SELECT rid, target, p, CAST(row_number() OVER (PARTITION BY rid ORDER BY round(p, 9) DESC, target) AS BIGINT) AS place FROM lm_distributions) d ON d.rid = c.rid AND d.target = e.target""")
-query("lm_score_events", "SELECT rid, n, place, round(p, 8) AS p, round(-ln(p), 5) AS nll FROM lm_scored")
+table("lm_scored", """SELECT e.song_id, e.n, e.position, coalesce(d.place, 999999) AS place, greatest(coalesce(d.p, 0.0), 0.000000000001) AS p FROM lm_events e
+    LEFT JOIN (SELECT rid, target, p, CAST(row_number() OVER (PARTITION BY rid ORDER BY round(p, 9) DESC, target) AS BIGINT) AS place FROM lm_distributions) d ON d.rid = e.rid AND d.target = e.target""")
+query("lm_score_events", "SELECT song_id, n, position, place, round(p, 8) AS p, round(-ln(p), 5) AS nll FROM lm_scored")
 query("agg_eval_metrics", "SELECT n, count(*) AS events, round(avg(CAST(place <= 1 AS INT)), 6) AS top1, round(avg(CAST(place <= 5 AS INT)), 6) AS top5, round(avg(CAST(place <= 10 AS INT)), 6) AS top10, round(avg(1 / place), 6) AS mrr, round(avg(-ln(p)), 5) AS nll FROM lm_scored GROUP BY n")

@@ -162,8 +162,9 @@ query("join_map_lookup", "SELECT w.song_id, w.pos, s.example FROM win w JOIN sup
 
 # --- aggregations ------------------------------------------------------------------------------------------------------------
 
-query("agg_count_ngrams", "SELECT n, ngram, cnt FROM exact_all WHERE cnt >= 2")
-query("agg_harmonic_pushforward", "SELECT n, hkey, cnt, n_exact, example FROM harm_all WHERE cnt >= 2")
+query("agg_count_ngrams", "SELECT n, ngram, cnt FROM exact")
+query("agg_harmonic_pushforward", "SELECT n, hkey, cnt, n_exact, example FROM harm")
+query("agg_vocabulary_sizes", "SELECT h.n, h.classes, h.windows, e.ngrams FROM (SELECT n, count(*) AS classes, CAST(sum(cnt) AS BIGINT) AS windows FROM harm_all GROUP BY n) h JOIN (SELECT n, count(*) AS ngrams FROM exact_all GROUP BY n) e ON h.n = e.n")
 
 
 @query("top_harmonic_classes", duck=f"SELECT n, {DUCK_ID} AS harmonic_id, example, cnt, n_exact FROM harm_all QUALIFY row_number() OVER (PARTITION BY n ORDER BY cnt DESC, hkey) <= 20")

@@ -213,15 +213,12 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _within(families: DataFrame) -> DataFrame:
-    """Second merge: links of families (family, node, root, major, size, body), as spanning forests of pairs of chunks. A node of the
-    largest component meets only the chunks of the others."""
-    minors = families.where(~F.col("major")).groupBy("family").agg(F.ceil(F.count("*") / FAMILY_CHUNK).cast("int").alias("cm"))
-    majors = families.where("major").groupBy("family").agg(F.ceil(F.count("*") / FAMILY_CHUNK).cast("int").alias("cj"))
-    rows = families.join(minors, "family").join(majors, "family")
+    """Second merge: links of families as spanning forests of pairs of chunks. The largest component's nodes (major) have cj chunks, the
+    others cm; a major node meets the others' chunks only."""
     spot = F.xxhash64("node")
     own = F.when(F.col("major"), F.col("cm") + F.pmod(spot, F.col("cj"))).otherwise(F.pmod(spot, F.col("cm"))).cast("int")
     others = F.sequence(F.lit(0), F.when(F.col("major"), F.col("cm") - 1).otherwise(F.col("cm") + F.col("cj") - 1))
-    rows = rows.withColumn("own", own).withColumn("o", F.explode(others))
+    rows = families.withColumn("own", own).withColumn("o", F.explode(others))
     rows = rows.select("family", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "root", "node", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,13 +281,15 @@ def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def _undecided(candidates: DataFrame, roots: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The families of three and more nodes that hold several components, with their sets; major: in the largest component."""
+    """family, node, root, major (in the largest component), cm, cj and body of families of three and more nodes with several components."""
     families = components.components(candidates, "a", "b").select("node", F.col("root").alias("family"))
-    rows = families.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = shared.staged(families.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "families")
     sizes = rows.groupBy("family", "root").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("c"), F.sum("n").alias("n")).where("c > 1 AND n > 2")
-    rows = rows.join(largest.select("family", "largest"), "family").join(bodies, "node")
-    return rows.select("family", "node", "root", (F.col("root") == F.col("largest")).alias("major"), "body")
+    facts = sizes.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.max("n").alias("most"), F.count("*").alias("c"), F.sum("n").alias("n")).where("c > 1 AND n > 2")
+    pieces = lambda n: F.ceil(n / FAMILY_CHUNK).cast("int")
+    facts = shared.staged(facts.select("family", "largest", pieces(F.col("n") - F.col("most")).alias("cm"), pieces(F.col("most")).alias("cj")), "families")
+    rows = rows.join(facts, "family").select("family", "node", "root", (F.col("root") == F.col("largest")).alias("major"), "cm", "cj")
+    return rows.join(bodies, "node")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ import contextlib
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
@@ -115,6 +115,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     global _KNOWN, _OLDER
     import xxhash
 
+    hold("words", _forget_words)
     found = list(map(_KNOWN.get, words))
     if None in found:
         if len(_KNOWN) > KNOWN_WORDS:
@@ -128,6 +129,25 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(found), "<u8")
 
 
+_CACHES: dict[str, Callable[[], None]] = {}
+_HOLDER: list[str] = []
+
+
+def hold(name: str, clear: Callable[[], None]) -> None:
+    """A worker keeps the tables of one kind only: those of another kind, left by an earlier stage, are emptied."""
+    _CACHES[name] = clear
+    if _HOLDER != [name]:
+        for other, empty in _CACHES.items():
+            if other != name:
+                empty()
+        _HOLDER[:] = [name]
+
+
+def _forget_words() -> None:
+    global _KNOWN, _OLDER
+    _KNOWN, _OLDER = {}, {}
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

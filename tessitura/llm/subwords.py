@@ -15,6 +15,8 @@ from itertools import filterfalse
 
 import numpy as np
 
+from tessitura.llm import shared
+
 #: Units of a generation that a worker keeps; two generations take some 300 MB at most.
 CACHE_UNITS = 600_000
 #: Longer units are encoded each time, so the table's memory stays bounded.
@@ -26,6 +28,7 @@ _OPENED: dict[tuple[str, str], "UnitEncoder"] = {}
 
 def encoder(path: str, style: str) -> "UnitEncoder":
     """The worker's encoder for a vocabulary file; style: ``byte`` (a space belongs to the next unit) or ``word`` (it is dropped)."""
+    shared.hold("units", _OPENED.clear)
     key = (path, style)
     if key not in _OPENED:
         _OPENED[key] = UnitEncoder(path, style)

@@ -99,19 +99,20 @@ def _columns(bodies: list[bytes], widths: tuple[int, ...]) -> list[np.ndarray]:
 
 def _added(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys in order, with the sums of their values."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
     return key[starts], *(np.add.reduceat(v[order], starts) if len(key) else v for v in values)
 
 
-def _bucket(key: np.ndarray, bits: int) -> np.ndarray:
-    return (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+def _bucket(key: np.ndarray, bits: int, of: int = 64) -> np.ndarray:
+    """The high ``bits`` of keys of ``of`` bits."""
+    return (key >> np.uint64(of - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
 
 
-def _rows(kind: str, key: np.ndarray, bits: int, columns: list[tuple[np.ndarray, int]]) -> Iterator[tuple]:
-    """A row for each bucket of sorted keys."""
-    edges = np.searchsorted(_bucket(key, bits), np.arange((1 << bits) + 1))
+def _rows(kind: str, key: np.ndarray, bits: int, columns: list[tuple[np.ndarray, int]], of: int = 48) -> Iterator[tuple]:
+    """A row for each bucket of sorted keys of so many bits."""
+    edges = np.searchsorted(_bucket(key, bits, of), np.arange((1 << bits) + 1))
     for b in np.flatnonzero(np.diff(edges)).tolist():
         at = slice(edges[b], edges[b + 1])
         yield kind, b, _body([(x[at], width) for x, width in columns]), None
@@ -123,9 +124,10 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _spread(h: np.ndarray) -> np.ndarray:
-    """A 64-bit key whose high bits are even, for 48-bit hashes."""
-    x = (h + np.uint64(1)) * _A
-    return x ^ (x >> np.uint64(32))
+    """48-bit hashes mixed one to one, so that their high bits are even."""
+    low = np.uint64((1 << 48) - 1)
+    x = ((h + np.uint64(1)) * _A) & low
+    return ((x ^ (x >> np.uint64(24))) * (_B | np.uint64(1))) & low
 
 
 _RAW, _PAIR, _CONTEXT, _LOWER = (8, 5), (6, 6, 5), (6, 5, 4, 4, 4), (6, 4)
@@ -142,17 +144,18 @@ def _counted(docs: DataFrame, bits: int) -> DataFrame:
             w, v = (np.concatenate([x[k] for x in held]) for k in (0, 1))
             one = np.ones(len(w), np.uint64)
             word, n = _added(w, one)
-            yield _table(list(_rows("raw", word, bits, [(word, 8), (n, 5)])))
+            yield _table(list(_rows("raw", word, bits, [(word, 8), (n, 5)], 64)))
             v, w = short(v), short(w)
             key = pair_key(v, w)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             key, v, w = key[order], v[order], w[order]
             starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             n = np.diff(np.append(starts, len(key))).astype(np.uint64)
             key, v, w = key[starts], v[starts], w[starts]
             # Inside a bucket by context, so that its bytes compress.
-            order = np.lexsort((w, v, _bucket(key, bits)))
-            bucket = _bucket(key, bits)[order]
+            bucket = _bucket(key, bits)
+            order = np.argsort((bucket.astype(np.uint64) << np.uint64(48)) | v)
+            bucket = bucket[order]
             edges = np.searchsorted(bucket, np.arange((1 << bits) + 1))
             out = []
             for b in np.flatnonzero(np.diff(edges)).tolist():
@@ -205,20 +208,16 @@ def _merged(rows: DataFrame, out_dir: str, bits: int, parts: int) -> DataFrame:
                 continue
             v, w, n = _columns(bodies, _PAIR)
             key = pair_key(v, w)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             key, v, w = key[order], v[order], w[order]
             starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             n = np.add.reduceat(n[order], starts)
             key, v, w = key[starts], v[starts], w[starts]
             out = [_store(out_dir, "pair", bucket, {"key": key} | _packed(n), counts=_counts_of_counts(n))]
-            context = _added(v, n, *((n == k).astype(np.uint64) for k in (1, 2)), (n >= 3).astype(np.uint64))
-            spread = _spread(context[0])
-            order = np.argsort(spread)
-            out += _rows("context", spread[order], bits, [(x[order], width) for x, width in zip(context, _CONTEXT, strict=True)])
-            lower = _added(w, np.ones(len(w), np.uint64))
-            spread = _spread(lower[0])
-            order = np.argsort(spread)
-            out += _rows("lower", spread[order], bits, [(x[order], width) for x, width in zip(lower, _LOWER, strict=True)])
+            context = _added(_spread(v), n, *((n == k).astype(np.uint64) for k in (1, 2)), (n >= 3).astype(np.uint64))
+            out += _rows("context", context[0], bits, list(zip(context, _CONTEXT, strict=True)))
+            lower = _added(_spread(w), np.ones(len(w), np.uint64))
+            out += _rows("lower", lower[0], bits, list(zip(lower, _LOWER, strict=True)))
             yield _table(out)
 
     dealt = rows.repartition(parts, "kind", "bucket").sortWithinPartitions("kind", "bucket")
@@ -282,26 +281,27 @@ class Model:
                     return np.frombuffer(f.read(), dtype)
         return _MAPPED[path]
 
-    def lookup(self, kind: str, key: np.ndarray, spread: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
-        """Values of keys (0 where absent), read bucket by bucket in the order of the arrays."""
+    def lookup(self, kind: str, key: np.ndarray, names: tuple[str, ...], of: int = 64) -> list[np.ndarray]:
+        """Values of sorted keys (0 where absent), read bucket by bucket in the order of the arrays."""
         out = [np.zeros(len(key), np.float64) for _ in names]
-        order = np.lexsort((key, _bucket(spread, self.bits)))
-        edges = np.searchsorted(_bucket(spread, self.bits)[order], np.arange((1 << self.bits) + 1))
-        for b in np.flatnonzero(np.diff(edges)).tolist():
+        edges = np.searchsorted(_bucket(key, self.bits, of), np.arange((1 << self.bits) + 1)).tolist()
+        for b in range(1 << self.bits):
+            if edges[b] == edges[b + 1]:
+                continue
             keys = self.array(kind, b, "key")
             if keys is None or not len(keys):
                 continue
-            mine = order[edges[b] : edges[b + 1]]
-            at = np.minimum(np.searchsorted(keys, key[mine]), len(keys) - 1)
-            hit = keys[at] == key[mine]
-            mine, at = mine[hit], at[hit]
+            wanted = key[edges[b] : edges[b + 1]]
+            at = np.searchsorted(keys, wanted)
+            np.minimum(at, len(keys) - 1, out=at)
+            hit = np.flatnonzero(keys[at] == wanted)
+            mine, at = hit + edges[b], at[hit]
             for o, name in zip(out, names, strict=True):
                 o[mine] = self.array(kind, b, name)[at]
             if kind == "pair":
                 full = np.flatnonzero(out[0][mine] == 255)
                 if len(full):
-                    o = out[0]
-                    o[mine[full]] = self.array(kind, b, "large")[np.searchsorted(self.array(kind, b, "at"), at[full])]
+                    out[0][mine[full]] = self.array(kind, b, "large")[np.searchsorted(self.array(kind, b, "at"), at[full])]
         return out
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, ...]:
@@ -312,18 +312,21 @@ class Model:
         at_v = np.empty_like(at_w)
         at_v[1:] = at_w[:-1]
         at_v[starts] = first
+        (count,) = self.lookup("raw", word, ("count",))
         narrow = short(word)
         spread = _spread(narrow)
-        (count,) = self.lookup("raw", word, word, ("count",))
-        (lower,) = self.lookup("lower", narrow, spread, ("count",))
-        total, one, two, more = self.lookup("context", narrow, spread, ("total", "one", "two", "more"))
+        order = np.argsort(spread)
+        spread = spread[order]
+        found = [*self.lookup("lower", spread, ("count",), 48), *self.lookup("context", spread, ("total", "one", "two", "more"), 48)]
+        values = np.empty((5, len(word)))
+        values[:, order] = found
+        lower, total, one, two, more = values
         p_low = self._taken(lower, self.low) + self.low_mass / (self.types + 1)
         p_low = p_low / self.low_total if self.low_total else np.full(len(word), 1.0 / (self.types + 1))
-        pair, again = np.unique(at_v * len(word) + at_w, return_inverse=True)
-        pv, pw = pair // len(word), pair % len(word)
-        key = pair_key(narrow[pv], narrow[pw])
-        (seen,) = self.lookup("pair", key, key, ("count",))
         mass = one * self.pair[0] + two * self.pair[1] + more * self.pair[2]
+        key, at, again = np.unique(pair_key(narrow[at_v], narrow[at_w]), return_index=True, return_inverse=True)
+        (seen,) = self.lookup("pair", key, ("count",))
+        pv, pw = at_v[at], at_w[at]
         known = total[pv] > 0
         p = np.where(known, (self._taken(seen, self.pair) + mass[pv] * p_low[pw]) / np.where(known, total[pv], 1.0), p_low[pw])
         base = np.log10((count + 1) / (self.tokens + self.types + 1))

@@ -22,6 +22,7 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ from tessitura.llm import shared
 
 SPACE = "▁"
 LONG = 256
-#: Words of a generation that a worker keeps; two generations take some 200 MB at most.
-CACHE_WORDS = 400_000
+#: Words of a generation that a worker keeps; two generations take some 400 MB at most.
+CACHE_WORDS = 600_000
 CACHE_CHARS = 64
 NONE = np.int64(1 << 40)
 
@@ -47,6 +48,7 @@ codecs.register_error("tessitura-each-byte", lambda e: ("\ufffd", e.start + 1))
 
 def opened(path: str) -> "PieceModel":
     """The worker's model of a vocabulary file."""
+    shared.hold("pieces", _OPENED.clear)
     if path not in _OPENED:
         _OPENED[path] = PieceModel(path)
     return _OPENED[path]
@@ -110,8 +112,8 @@ class PieceModel:
         self.raw = [bytes([int(p[3:5], 16)]) if kind == self.BYTE else b"" if kind == self.CONTROL else b" \xe2\x81\x87 " if kind == self.UNKNOWN else p.replace(SPACE, " ").encode() for p, _, kind in self.pieces]
         self.decimal = [str(i) for i in range(len(self.pieces))]
         self._pairs()
-        self.known: dict[str, np.ndarray] = {}
-        self.older: dict[str, np.ndarray] = {}
+        self.known: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
 
     def _pairs(self) -> None:
         """The merges: sorted keys (left id * size + right id), the merged id, its rank (equal scores share one) and whether the
@@ -135,61 +137,66 @@ class PieceModel:
         self.alone = best_with[: len(self.pieces)] <= self.rank_of  # such a piece must not be merged at several places at once
         self.pair_table = {r[0]: r[1] for r in rows}
 
-    def _lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and merged id of adjacent symbols; NONE where they make no piece."""
-        key = left * self.size + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        merged = self.merged[at]
-        ok = self.keys[at] == key
-        return np.where(ok, self.rank_of[merged], NONE), np.where(ok, merged, 0)
+    def _pairs_at(self, symbols: np.ndarray, owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and merged id of the pairs that begin at the places ``at``; NONE where a word ends or the two make no piece."""
+        rank, merged = np.full(len(at), NONE), np.zeros(len(at), np.int64)
+        inner = np.flatnonzero(at + 1 < len(symbols))
+        places = at[inner]
+        left, right = symbols[places], symbols[places + 1]
+        fit = np.flatnonzero((owner[places] == owner[places + 1]) & (left >= 0) & (right >= 0))  # unknown symbols are negative
+        key = left[fit] * self.size + right[fit]
+        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[found] == key)
+        ids = self.merged[found[hit]]
+        places = inner[fit[hit]]
+        rank[places], merged[places] = self.rank_of[ids], ids
+        return rank, merged
 
     def _symbols(self, word: str) -> list[int]:
         """A word's characters as ids; unknown ones, which never merge, as negative code points."""
         get = self.ids.get
         return [i if (i := get(c)) is not None else -ord(c) - 1 for c in word]
 
-    def merge(self, words: Sequence[str]) -> list[np.ndarray]:
+    def merge(self, words: Sequence[str]) -> list[list[int]]:
         """The symbols of each word after all merges."""
-        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(words)
         spelled = [self._symbols(w) for w in words]
+        out = [s if len(s) < 2 else self._merge_long(s) if len(s) > LONG else [] for s in spelled]
         short = [k for k, s in enumerate(spelled) if 1 < len(s) <= LONG]
-        for k, s in enumerate(spelled):
-            if len(s) <= 1:
-                out[k] = np.array(s, np.int64)
-            elif len(s) > LONG:
-                out[k] = self._merge_long(s)
-        if not short:
-            return out
-        symbols = np.array([c for k in short for c in spelled[k]], np.int64)
+        symbols = np.fromiter(chain.from_iterable(spelled[k] for k in short), np.int64)
         owner = np.repeat(np.arange(len(short)), [len(spelled[k]) for k in short])
+        rank, merged = self._pairs_at(symbols, owner, np.arange(len(symbols)))
         while len(symbols):
-            # Unknown symbols are negative: their keys fall below every real pair's or are masked here.
-            left, right = symbols[:-1], symbols[1:]
-            rank, merged = self._lookup(left, right)
-            rank[(owner[:-1] != owner[1:]) | (left < 0) | (right < 0)] = NONE
-            rank = np.append(rank, NONE)
-            merged = np.append(merged, 0)
             starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             lengths = np.diff(np.append(starts, len(symbols)))
             best = np.minimum.reduceat(rank, starts)
             live = best < NONE
-            for s, n, w in zip(starts[~live], lengths[~live], owner[starts[~live]], strict=True):
-                out[short[w]] = symbols[s : s + n]
-            if not live.any():
+            done = np.flatnonzero(~live)
+            if len(done):
+                values = symbols.tolist()
+                for s, n, w in zip(starts[done].tolist(), lengths[done].tolist(), owner[starts[done]].tolist(), strict=True):
+                    out[short[w]] = values[s : s + n]
+            alive = np.repeat(live, lengths)
+            at = np.flatnonzero((rank == np.repeat(best, lengths)) & alive)
+            if not len(at):
                 break
-            at = np.flatnonzero((rank == np.repeat(best, lengths)) & np.repeat(live, lengths))
             first = np.append(True, owner[at[1:]] != owner[at[:-1]])
             # A word merges all places of the pair that is its leftmost best one, if the merged piece allows it.
-            lead = merged[at[first]][np.cumsum(first) - 1]
-            at = at[first | (~self.alone[lead] & _same(left, right, at, first))]
+            lead = at[first][np.cumsum(first) - 1]
+            at = at[first | (~self.alone[merged[lead]] & (symbols[at] == symbols[lead]) & (symbols[at + 1] == symbols[lead + 1]))]
             at = at[_apart(at)]
             symbols[at] = merged[at]
-            keep = np.repeat(live, lengths)
+            keep = alive
             keep[at + 1] = False
-            symbols, owner = symbols[keep], owner[keep]
+            place = (np.cumsum(keep) - 1)[at]
+            symbols, owner, rank, merged = symbols[keep], owner[keep], rank[keep], merged[keep]
+            fresh = np.zeros(len(symbols), bool)
+            fresh[place] = True
+            fresh[np.maximum(place - 1, 0)] = True
+            changed = np.flatnonzero(fresh)
+            rank[changed], merged[changed] = self._pairs_at(symbols, owner, changed)
         return out
 
-    def _merge_long(self, symbols: list[int]) -> np.ndarray:
+    def _merge_long(self, symbols: list[int]) -> list[int]:
         """The same merges for one word by a heap of pairs: best rank first, then leftmost."""
         n, size, table, rank = len(symbols), self.size, self.pair_table, self.rank_of.tolist()
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -217,15 +224,12 @@ class PieceModel:
             push(i)
             if before[i] >= 0:
                 push(before[i])
-        return np.array([s for s, x in zip(symbols, gone, strict=True) if not x], np.int64)
+        return [s for s, x in zip(symbols, gone, strict=True) if not x]
 
-    def _ids(self, merged: np.ndarray) -> np.ndarray:
-        if len(merged) and merged.min() < 0:
-            spelled: list[int] = []
-            for s in merged.tolist():
-                spelled += [s] if s >= 0 else [self.bytes[b] for b in chr(-s - 1).encode("utf-8", "surrogatepass")]
-            merged = np.array(spelled, np.int64)
-        return merged.astype(np.int32)
+    def _ids(self, merged: list[int]) -> list[int]:
+        if merged and min(merged) < 0:
+            return [i for s in merged for i in ((s,) if s >= 0 else [self.bytes[b] for b in chr(-s - 1).encode("utf-8", "surrogatepass")])]
+        return merged
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -235,45 +239,56 @@ class PieceModel:
             return text.split(" ")
         return [w[1:] if w[0] == SPACE and w[1:2] != SPACE and len(w) > 1 else "\0" + w for w in _WORDS.findall(SPACE + text.replace(" ", SPACE))]
 
-    def encode(self, texts: Sequence[str]) -> list[list[np.ndarray]]:
-        """The ids of each text, word by word. Words are kept without their one space; any other word behind a NUL mark."""
+    def _entry(self, merged: list[int]) -> tuple[str, bytes]:
+        """A word's ids as decimals joined by commas, and their bytes."""
+        ids = self._ids(merged)
+        return ",".join([self.decimal[i] for i in ids]), b"".join([self.raw[i] for i in ids])
+
+    def entries(self, texts: Sequence[str]) -> list[list[tuple[str, bytes]]]:
+        """The entries of each text's words. Words are known without their one space; any other word behind a NUL mark."""
         cut = [self.words(t) for t in texts]
         get = self.known.get
         found = [list(map(get, ws)) for ws in cut]
         missing: set[str] = set()
         gaps = []
         for k, parts in enumerate(found):
-            if any(x is None for x in parts):
+            if None in parts:
                 at = [i for i, x in enumerate(parts) if x is None]
                 gaps.append((k, at))
                 missing.update([cut[k][i] for i in at])
-        table = {w: ids for w in missing if (ids := self.older.get(w)) is not None}
+        table = {w: entry for w in missing if (entry := self.older.get(w)) is not None}
         fresh = sorted(missing.difference(table))
         for a in range(0, len(fresh), 20_000):
             part = fresh[a : a + 20_000]
-            table.update(zip(part, map(self._ids, self.merge([w[1:] if w[:1] == "\0" and w[1:2] == SPACE else SPACE + w for w in part])), strict=True))
+            table.update(zip(part, map(self._entry, self.merge([w[1:] if w[:1] == "\0" and w[1:2] == SPACE else SPACE + w for w in part])), strict=True))
         if len(self.known) > CACHE_WORDS:
             self.known, self.older = {}, self.known
-        self.known.update((w, ids) for w, ids in table.items() if len(w) <= CACHE_CHARS)
+        self.known.update((w, entry) for w, entry in table.items() if len(w) <= CACHE_CHARS)
         for k, at in gaps:
+            parts, ws = found[k], cut[k]
             for i in at:
-                found[k][i] = table[cut[k][i]]
+                parts[i] = table[ws[i]]
         return found
 
+    def encode(self, texts: Sequence[str]) -> list[list[int]]:
+        """The ids of each text."""
+        return [[int(i) for d, _ in entries for i in d.split(",")] for entries in self.entries(texts)]
+
     def decode(self, ids: Sequence[int]) -> str:
         """The text of ids: pieces joined, bytes decoded (broken ones as U+FFFD), the space in front dropped."""
-        raw = self.raw
-        data = b"".join([raw[i] for i in ids])
-        if data[:1] == b" " and len(ids):
-            data = data[1:]
-        return data.decode("utf-8", "tessitura-each-byte")
+        out: list[str] = []
+        part: list[int] = []
+        for i in [*ids, None]:  # a control piece has no text, but ends a run of bytes
+            if i is not None and self.pieces[i][2] != self.CONTROL:
+                part.append(i)
+            elif part:
+                out.append(self._text(b"".join([self.raw[k] for k in part]), not out and self.pieces[part[0]][2] == self.NORMAL))
+                part = []
+        return "".join(out)
 
-
-def _same(left: np.ndarray, right: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Where a candidate has the same two symbols as its word's first candidate."""
-    group = np.cumsum(first) - 1
-    lead = at[first]
-    return (left[at] == left[lead][group]) & (right[at] == right[lead][group])
+    @staticmethod
+    def _text(data: bytes, spaced: bool = True) -> str:
+        return (data.removeprefix(b" ") if spaced else data).decode("utf-8", "tessitura-each-byte")
 
 
 def _apart(at: np.ndarray) -> np.ndarray:
@@ -294,15 +309,14 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         model = opened(path)
         for batch in shared.sliced(batches, "t"):
             counts, hashes, texts, all_ids = [], [], [], []
-            for words in model.encode(shared.texts_of(batch, "t")):
-                ids = np.concatenate(words).tolist() if words else []
-                counts.append(len(ids))
-                decimal = model.decimal
-                hashes.append(hashlib.sha256(",".join([decimal[i] for i in ids]).encode()).hexdigest())
-                text = model.decode(ids)
+            for entries in model.entries(shared.texts_of(batch, "t")):
+                decimals = ",".join([d for d, _ in entries])
+                counts.append(decimals.count(",") + 1 if entries else 0)
+                hashes.append(hashlib.sha256(decimals.encode()).hexdigest())
+                text = model._text(b"".join([raw for _, raw in entries]))  # decode(ids): each word's bytes come from its ids
                 texts.append(text if with_ids else hashlib.sha256(text.encode()).hexdigest())
                 if with_ids:
-                    all_ids.append(ids)
+                    all_ids.append([int(i) for i in decimals.split(",")] if entries else [])
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts] if with_ids else texts)]
             if with_ids:
                 columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]

@@ -139,8 +139,7 @@ def test_pieces_like_sentencepiece(docs, empty, corpus, monkeypatch):
     path = vocabulary("piece_bpe_32k.model")
     sp, model = sentencepiece.SentencePieceProcessor(model_file=path), piecebpe.PieceModel(path)
     texts = odd_texts(2000, " \n▁aàéthe  inging漢🦙aaa​<s>xyz0123'.,") + ["a" * 700, " " * 600 + "x", "the" * 300 + " " * 33, "0" * 1000, "ab " * 400, "漢" * 300]
-    flat = lambda ws: np.concatenate(ws).tolist() if ws else []
-    assert [flat(w) for w in model.encode(texts)] == sp.encode(texts)
+    assert model.encode(texts) == sp.encode(texts)
     assert [model.decode(ids) for ids in sp.encode(texts)] == [sp.decode(ids) for ids in sp.encode(texts)]
     words = [piecebpe.SPACE + t for t in texts if t]
     rounds = model.merge(words)
@@ -148,8 +147,8 @@ def test_pieces_like_sentencepiece(docs, empty, corpus, monkeypatch):
     assert all(np.array_equal(a, b) for a, b in zip(rounds, model.merge(words), strict=True))
     r = random.Random(1)
     for _ in range(500):  # byte pieces in any order
-        ids = [r.randrange(3, 400) for _ in range(6)]
-        assert model.decode(ids[:1] and [300, *ids]) == sp.decode([300, *ids])
+        ids = [r.randrange(0, 400) for _ in range(6)]
+        assert model.decode(ids) == sp.decode(ids)
     for table in (docs, corpus):
         rows = piecebpe.encode_documents(table, path, with_ids=True).collect()
         texts = sorted(r.text or "" for r in table.select("text").collect())

@@ -96,6 +96,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     sample = usable.where(draw < share[F.col(lang_col).cast("string")]).select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.hold_nothing()
         totals: dict[str, np.ndarray] = {}
         for batch in shared.sliced(batches, "t"):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -132,6 +133,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", names: Sequen
     schema = ", ".join([*(f"{n} {rows.schema[n].dataType.simpleString()}" for n in inner), "lang string, score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.hold_nothing()
         fitted = shipped.value
         for batch in shared.sliced(batches, "t"):
             found = [fitted.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]

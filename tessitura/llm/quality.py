@@ -117,6 +117,7 @@ def ledger(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
     schema = ", ".join([*(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names), *(f"{m} long" for m in MEASURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.hold_nothing()
         for batch in shared.sliced(batches, "t"):
             found = [measure(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             columns = list(zip(*found, strict=True))

@@ -143,6 +143,11 @@ def hold(name: str, clear: Callable[[], None]) -> None:
         _HOLDER[:] = [name]
 
 
+def hold_nothing() -> None:
+    """For tasks that keep no tables of their own."""
+    hold("nothing", lambda: None)
+
+
 def _forget_words() -> None:
     global _KNOWN, _OLDER
     _KNOWN, _OLDER = {}, {}

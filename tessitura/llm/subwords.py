@@ -17,8 +17,8 @@ import numpy as np
 
 from tessitura.llm import shared
 
-#: Units of a generation that a worker keeps; two generations take some 300 MB at most.
-CACHE_UNITS = 600_000
+#: Units of a generation that a worker keeps; two generations take some 250 MB at most.
+CACHE_UNITS = 500_000
 #: Longer units are encoded each time, so the table's memory stays bounded.
 CACHE_CHARS = 64
 

@@ -42,7 +42,7 @@ def _song(store: Store, value) -> int:
 
 def _lengths(params: dict) -> dict[int, float]:
     try:
-        return sim.parse_weights(params.get("weights"), sim.parse_ns(params.get("ns"), (3, 4)))
+        return sim.parse_weights(params.get("weights"), sim.parse_ns(params.get("ns")))
     except sim.ParameterError as e:
         raise ApiError(400, str(e)) from e
 

@@ -208,8 +208,9 @@ def ngram_label(store: Store) -> DataFrame:
     return grams.select("song_id", "pos", c.ngram_label("g").alias("label"))
 
 
-DUCK_FAMILY = """CASE WHEN t[1] = t[2] AND t[2] = t[3] AND t[3] = t[4] THEN t[1] || ' loop' WHEN t[1] = t[3] AND t[2] = t[4] THEN t[1] || ' ' || t[2] || ' loop'
-    WHEN t[1] = t[4] THEN t[1] || ' ' || t[2] || ' ' || t[3] || ' loop' ELSE t[1] || ' ' || t[2] || ' ' || t[3] END"""
+#: For every length: tokens that equal themselves moved by 1, 2 or 3 places repeat a phrase of so many.
+DUCK_FAMILY = """CASE WHEN t[2:len(t)] = t[1:len(t) - 1] THEN t[1] || ' loop' WHEN t[3:len(t)] = t[1:len(t) - 2] THEN t[1] || ' ' || t[2] || ' loop'
+    WHEN len(t) > 3 AND t[4:len(t)] = t[1:len(t) - 3] THEN t[1] || ' ' || t[2] || ' ' || t[3] || ' loop' ELSE t[1] || ' ' || t[2] || ' ' || t[3] END"""
 
 
 @query("progression_family", duck=f"SELECT ngram, {DUCK_FAMILY} AS family, CASE WHEN suffix(family, 'loop') THEN 'loop' ELSE 'phrase' END AS kind FROM (SELECT ngram, string_split(ngram, ' ') AS t FROM exact WHERE n = 4 AND cnt >= 2)")

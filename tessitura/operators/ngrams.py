@@ -9,8 +9,8 @@ from tessitura.functions import chords
 from tessitura.plans.store import Store, table
 from tessitura.sources.songs import ALPHABET, UNREADABLE, songs_from_documents
 
-#: N-gram lengths of the analyses; vocabularies also cover ``ALL_NS``.
-NS, ALL_NS = (3, 4), (3, 4, 5, 6, 7, 8)
+#: N-gram lengths of the vocabularies, the song index and all analyses over them.
+NS = (3, 4, 5, 6, 7, 8)
 #: Least corpus count of an indexed class.
 SUPPORT = 5
 
@@ -100,19 +100,15 @@ def windows(tokens: DataFrame, ns) -> DataFrame:
     return wide.select("song_id", "pos", parts.alias("w")).select("song_id", "w.n", "pos", "w.ngram", "w.hkey", "w.error")
 
 
-@table("win", duck=_duck_windows("tokens", NS))
+@table("win", duck=_duck_windows("tokens", NS), view=True)
 def win(store: Store) -> DataFrame:
+    """A view: the windows of all lengths are some tens of times the tokens, from which they are made again where needed."""
     return windows(store.table("tokens"), NS)
 
 
-@table("win_all", duck=_duck_windows("tokens", ALL_NS), view=True)
-def win_all(store: Store) -> DataFrame:
-    return windows(store.table("tokens"), ALL_NS)
-
-
-@table("win_dirty", duck=_duck_windows("dirty_tokens", (3,)), view=True)
+@table("win_dirty", duck=_duck_windows("dirty_tokens", NS), view=True)
 def win_dirty(store: Store) -> DataFrame:
-    return windows(store.table("dirty_tokens"), (3,))
+    return windows(store.table("dirty_tokens"), NS)
 
 
 def text_key(hkey, n):
@@ -124,7 +120,6 @@ def text_key(hkey, n):
 DUCK_KEY = "n || ':' || array_to_string(list_transform(range(12), lambda p: array_to_string(list_transform(range(n), lambda i: ((('0x' || substr(hkey, (3 * i + 1)::INTEGER, 3))::INTEGER >> p::INTEGER) & 1)::VARCHAR), '')), '')"
 
 table("exact", "SELECT n, ngram, min(hkey) AS hkey, count(*) AS cnt FROM win GROUP BY n, ngram")
-table("exact_all", "SELECT n, ngram, min(hkey) AS hkey, count(*) AS cnt FROM win_all GROUP BY n, ngram")
 
 
 def pushforward(exact: DataFrame) -> DataFrame:
@@ -133,21 +128,25 @@ def pushforward(exact: DataFrame) -> DataFrame:
     return exact.where("hkey IS NOT NULL").groupBy("n", "hkey").agg(F.sum("cnt").alias("cnt"), F.count("*").alias("n_exact"), best.alias("example"))
 
 
-DUCK_HARM = "SELECT n, hkey, sum(cnt)::BIGINT AS cnt, count(*) AS n_exact, first(ngram ORDER BY cnt DESC, ngram) AS example FROM {} WHERE hkey IS NOT NULL GROUP BY n, hkey"
-
-
-@table("harm", duck=DUCK_HARM.format("exact"))
+@table("harm", duck="SELECT n, hkey, sum(cnt)::BIGINT AS cnt, count(*) AS n_exact, first(ngram ORDER BY cnt DESC, ngram) AS example FROM exact WHERE hkey IS NOT NULL GROUP BY n, hkey")
 def harm(store: Store) -> DataFrame:
     return pushforward(store.table("exact"))
 
 
-@table("harm_all", duck=DUCK_HARM.format("exact_all"))
-def harm_all(store: Store) -> DataFrame:
-    return pushforward(store.table("exact_all"))
+#: The names under which queries ask for all lengths.
+table("exact_all", "SELECT n, ngram, hkey, cnt FROM exact", view=True)
+table("harm_all", "SELECT n, hkey, cnt, n_exact, example FROM harm", view=True)
+#: Kept, so that joins know its size: the threshold leaves few of the long classes.
+table("supported", f"SELECT n, hkey, cnt, example FROM harm WHERE cnt >= {SUPPORT}")
+
+
+@table("terms", duck="SELECT w.song_id, w.n, w.hkey, count(*) AS cnt FROM win w JOIN supported h ON w.n = h.n AND w.hkey = h.hkey GROUP BY w.song_id, w.n, w.hkey")
+def terms(store: Store) -> DataFrame:
+    """Counted where the windows are made, by song, so that the join takes each class of a song once."""
+    counts = store.table("win").where("hkey IS NOT NULL").groupBy("song_id", "n", "hkey").agg(F.count("*").alias("cnt"))
+    return counts.join(store.table("supported").select("n", "hkey"), ["n", "hkey"]).select("song_id", "n", "hkey", "cnt")
 
 
-table("supported", f"SELECT n, hkey, cnt, example FROM harm WHERE cnt >= {SUPPORT}", view=True)
-table("terms", "SELECT w.song_id, w.n, w.hkey, count(*) AS cnt FROM win w JOIN supported h ON w.n = h.n AND w.hkey = h.hkey GROUP BY w.song_id, w.n, w.hkey")
 table("song_windows", "SELECT song_id, n, count(*) AS total_windows FROM win GROUP BY song_id, n")
 table(
     "totals",

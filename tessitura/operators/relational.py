@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessitura.operators.kernel import DUCK_ID, class_id
+from tessitura.operators.ngrams import NS
 from tessitura.plans.register import query
 from tessitura.plans.store import Store
 from tessitura.sources import songs as files
@@ -78,9 +79,9 @@ def sink_json_api(store: Store) -> DataFrame:
     return files.json_rows(rows)
 
 
-@query("scan_registered_frame", duck="SELECT t.song_id, t.n, t.cnt, w.alpha FROM terms t JOIN (VALUES (3, 1.0::DOUBLE), (4, 1.5::DOUBLE)) w(n, alpha) ON t.n = w.n")
+@query("scan_registered_frame", duck="SELECT t.song_id, t.n, t.cnt, w.alpha FROM terms t JOIN (VALUES (3, 1.0::DOUBLE), (4, 1.5::DOUBLE), (5, 2.0::DOUBLE), (6, 2.5::DOUBLE), (7, 3.0::DOUBLE), (8, 3.5::DOUBLE)) w(n, alpha) ON t.n = w.n")
 def scan_registered_frame(store: Store) -> DataFrame:
-    weights = store.spark.createDataFrame([(3, 1.0), (4, 1.5)], "n int, alpha double")
+    weights = store.spark.createDataFrame([(n, (n - 1) / 2) for n in NS], "n int, alpha double")
     return store.table("terms").join(F.broadcast(weights), "n").select("song_id", "n", "cnt", "alpha")
 
 
@@ -98,8 +99,8 @@ query("song_scopes", "SELECT song_id, 'global' AS scope, 'all' AS value FROM son
 
 @query("unpivot_totals", duck="SELECT song_id, n, total_windows FROM song_windows")
 def unpivot_totals(store: Store) -> DataFrame:
-    wide = store.table("songs").select("song_id", *(F.greatest(F.size("tokens") - (n - 1), F.lit(0)).cast("long").alias(f"n_ngrams_{n}") for n in (3, 4)))
-    long = wide.unpivot("song_id", ["n_ngrams_3", "n_ngrams_4"], "name", "total_windows")
+    wide = store.table("songs").select("song_id", *(F.greatest(F.size("tokens") - (n - 1), F.lit(0)).cast("long").alias(f"n_ngrams_{n}") for n in NS))
+    long = wide.unpivot("song_id", [f"n_ngrams_{n}" for n in NS], "name", "total_windows")
     return long.where("total_windows > 0").select("song_id", F.substring_index("name", "_", -1).cast("int").alias("n"), "total_windows")
 
 

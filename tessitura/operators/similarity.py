@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import re
 
+from tessitura.operators.ngrams import NS
 from tessitura.plans.register import query
 from tessitura.plans.store import table
 
@@ -38,7 +39,7 @@ def bounded_float(value, default: float, least: float, most: float) -> float:
     return min(most, max(least, number))
 
 
-def parse_ns(value, known=(3, 4, 5, 6, 7, 8)) -> tuple[int, ...]:
+def parse_ns(value, known=NS) -> tuple[int, ...]:
     """A comma list of n-gram lengths, all known ones by default."""
     if value in (None, ""):
         return tuple(known)
@@ -84,10 +85,11 @@ def _excluding(same_artist: bool, cross_genre: bool) -> str:
 
 
 def _scored(dots: str, song_id: int, weights: dict[int, float], norm: str, filters: str, limit: int) -> str:
-    """Rank dots(song_id, dot, shared) by cosine, one row per track. Norms are summed for the songs at hand only."""
+    """Rank dots(song_id, dot, shared) by cosine, one row per track. Norms are summed for the songs at hand only. Songs without a feature of
+    a length that has weight come last, without a cosine."""
     alpha = _alpha(weights)
-    return f"""SELECT song_id, similarity, shared FROM (SELECT d.song_id, c.track_id, round(d.dot / (sqrt(x.v) * sqrt(y.v)), 6) AS similarity, d.shared,
-        row_number() OVER (PARTITION BY coalesce('s:' || c.track_id, 'l:' || CAST(d.song_id AS STRING)) ORDER BY round(d.dot / (sqrt(x.v) * sqrt(y.v)), 6) DESC, d.shared DESC, d.song_id) AS copy
+    return f"""SELECT song_id, similarity, shared FROM (SELECT d.song_id, c.track_id, round(d.dot / nullif(sqrt(x.v) * sqrt(y.v), 0), 6) AS similarity, d.shared,
+        row_number() OVER (PARTITION BY coalesce('s:' || c.track_id, 'l:' || CAST(d.song_id AS STRING)) ORDER BY round(d.dot / nullif(sqrt(x.v) * sqrt(y.v), 0), 6) DESC, d.shared DESC, d.song_id) AS copy
         FROM ({dots}) d JOIN (SELECT m.song_id, sum(m.{norm} * w.alpha * w.alpha) AS v FROM norms m JOIN {alpha} w ON m.n = w.n GROUP BY m.song_id) x ON d.song_id = x.song_id
         CROSS JOIN (SELECT sum(m.{norm} * w.alpha * w.alpha) AS v FROM norms m JOIN {alpha} w ON m.n = w.n WHERE m.song_id = {song_id}) y
         JOIN songs c ON d.song_id = c.song_id CROSS JOIN (SELECT track_id, artist_id, main_genre FROM songs WHERE song_id = {song_id}) q WHERE {filters}) z
@@ -160,15 +162,15 @@ def search_songs(text: str, limit: int = 20, links: str = "all") -> str:
     return f"SELECT song_id, artist_id, main_genre, track_id, indexed_features FROM search_summary WHERE {where} ORDER BY {first}{rank}indexed_features DESC, song_id LIMIT {limit}"
 
 
-W = {3: 1.0, 4: 4 / 3}
+W = {n: n / 3 for n in NS}
 query("song_tfidf", "SELECT song_id, n, hkey, cnt, round(tf_frequency, 8) AS tf_frequency, round(tf_log_count, 8) AS tf_log_count, round(idf, 8) AS idf, round(tfidf_frequency, 8) AS tfidf_frequency, round(tfidf_log_count, 6) AS tfidf_log_count FROM tfidf")
 query("similar_exact", similar_exact(1, W))
 query("similar_exact_filtered", similar_exact(1, W, weight_column="tfidf_frequency", exclude_same_artist=True, cross_genre=True))
 query("similar_fast", similar_fast(1, W, min_shared=2, max_df_rate=0.2))
 query("similar_by_n", similar_by_n(1, W))
 query("strongest_n", "SELECT song_id, max_by(n, struct(contribution, shared)) AS strongest FROM (" + similar_by_n(1, W) + ") s GROUP BY song_id", "SELECT song_id, first(n ORDER BY contribution DESC, shared DESC) AS strongest FROM (" + similar_by_n(1, W) + ") s GROUP BY song_id")
-query("compare_n", compare_n(1, (3, 4)))
-query("compare_n_fast", compare_n(1, (3, 4), max_df_rate=0.2))
+query("compare_n", compare_n(1, NS))
+query("compare_n_fast", compare_n(1, NS, max_df_rate=0.2))
 query("explain_features", explain_features(1, 3, W))
 query("explain_by_n", explain_by_n(1, 3, W))
 query("explain_unique", explain_unique(1, 3, W))

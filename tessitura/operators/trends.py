@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.functions import chords
+from tessitura.operators.kernel import DUCK_FAMILY
 from tessitura.plans.register import query
 from tessitura.plans.store import Store, table
 
@@ -130,11 +131,7 @@ query("agg_stratification_audit", """SELECT kind, groups, songs, smallest, round
 query("agg_strata_summary", "SELECT t.stype, t.n, count(*) AS strata, CAST(sum(t.total_windows) AS BIGINT) AS windows, min(t.total_windows) AS least, median(t.total_windows) AS median, max(t.total_windows) AS most, CAST(sum(s.song_count) AS BIGINT) AS songs FROM stratum_totals t JOIN stratum_songs s ON t.stype = s.stype AND t.svalue = s.svalue GROUP BY t.stype, t.n")
 query("agg_metadata_profile", "SELECT decade, main_genre, count(*) AS songs, count(rock_genre) AS with_rock_genre, count(track_id) AS with_track, count(DISTINCT artist_id) AS artists FROM songs GROUP BY decade, main_genre")
 
-_DUCK_FAMILY = """CASE WHEN len(list_distinct(t)) = 1 THEN t[1] || ' loop' WHEN t[1] = t[3] AND (n = 3 OR t[2] = t[4]) THEN t[1] || ' ' || t[2] || ' loop'
-    WHEN n = 4 AND t[1] = t[4] THEN t[1] || ' ' || t[2] || ' ' || t[3] || ' loop' ELSE t[1] || ' ' || t[2] || ' ' || t[3] END"""
-
-
-@table("labelled", duck=f"SELECT n, hkey, example, {_DUCK_FAMILY} AS family FROM (SELECT n, hkey, example, string_split(example, ' ') AS t FROM supported)")
+@table("labelled", duck=f"SELECT n, hkey, example, {DUCK_FAMILY} AS family FROM (SELECT n, hkey, example, string_split(example, ' ') AS t FROM supported)")
 def labelled(store: Store) -> DataFrame:
     """Supported classes with the progression family of their example."""
     return store.table("supported").select("n", "hkey", "example", chords.progression_family("example")["family"].alias("family"))

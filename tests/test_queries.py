@@ -63,6 +63,27 @@ def test_invariants(corpus):
     assert abs(dots.d - dots.v) < 1e-6
 
 
+LENGTHS = [3, 4, 5, 6, 7, 8]
+
+
+@pytest.mark.parametrize("name", "exact harm terms totals dfs tfidf norms stratum_totals docterms targets win_dirty".split())
+def test_tables_hold_all_lengths(corpus, name):
+    assert [r.n for r in corpus.table(name).select("n").distinct().orderBy("n").collect()] == LENGTHS
+
+
+def test_long_lengths_are_searched(corpus):
+    song = corpus.sql("SELECT min(t.song_id) AS s FROM terms t JOIN dfs d ON t.n = d.n AND t.hkey = d.hkey WHERE t.n = 8 AND d.song_df > 1").first().s
+    for n in LENGTHS:
+        status, rows = api.handle(corpus, "/api/compare-n", {"song_id": str(song), "ns": str(n), "exact": "1", "min_shared": "1"})
+        assert status == 200 and {json.loads(r)["n"] for r in rows} == {n}
+    assert corpus.sql(sim.similar_exact(song, sim.PRESETS["long"], min_shared=1)).first().similarity > 0
+
+
+@pytest.mark.parametrize("name", ["agg_family_summary", "song_tfidf"])
+def test_all_lengths_against_duckdb(spark, duck, name):
+    test_against_duckdb(spark, duck, name)
+
+
 def test_fast_scores_like_exact(corpus):
     fast = {r.song_id: r.similarity for r in corpus.sql(sim.similar_fast(1, sim.parse_weights("", (3, 4)), min_shared=1, max_df_rate=1.0)).collect()}
     exact = {r.song_id: r.similarity for r in corpus.sql(sim.similar_exact(1, sim.parse_weights("", (3, 4)), top_k=1000, min_shared=1)).collect()}

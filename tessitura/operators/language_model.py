@@ -5,13 +5,15 @@ from __future__ import annotations
 from tessitura.plans.register import query
 from tessitura.plans.store import table
 
-#: States are the most frequent classes of one length.
-N, STATES, TOP = 3, 200, 10
+#: States are the most frequent classes of each of these lengths.
+LM_NS, STATES, TOP = (3, 4, 5), 1000, 10
+#: Length of the registered requests.
+N = 3
 #: Prior weight of each scope; a scope's support s counts s / (s + 50).
 PRIORS = {"artist": 0.45, "genre": 0.25, "decade": 0.2, "global": 0.1}
 HALF = 50
 
-table("states", f"SELECT n, hkey, cnt FROM (SELECT n, hkey, cnt, row_number() OVER (PARTITION BY n ORDER BY cnt DESC, hkey) AS r FROM harm WHERE n = {N}) x WHERE r <= {STATES}")
+table("states", f"SELECT n, hkey, cnt FROM (SELECT n, hkey, cnt, row_number() OVER (PARTITION BY n ORDER BY cnt DESC, hkey) AS r FROM harm WHERE n IN {LM_NS}) x WHERE r <= {STATES}")
 table("sequences", "SELECT w.song_id, w.n, row_number() OVER (PARTITION BY w.song_id, w.n ORDER BY w.pos) - 1 AS position, w.hkey FROM win w JOIN states s ON w.n = s.n AND w.hkey = s.hkey")
 table("transitions", """SELECT x.song_id, CASE WHEN x.song_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, x.n, x.position, x.hkey AS source, x.target, CAST(s.decade AS STRING) AS decade, s.main_genre, s.artist_id
     FROM (SELECT song_id, n, position, hkey, lead(hkey) OVER (PARTITION BY song_id, n ORDER BY position) AS target FROM sequences) x JOIN songs s ON x.song_id = s.song_id WHERE x.target IS NOT NULL""")
@@ -20,7 +22,8 @@ _SCOPED = """SELECT split, n, source, target, scope, value, count(*) AS cnt FROM
     FROM transitions t CROSS JOIN (VALUES ('global'), ('decade'), ('genre'), ('artist')) z(scope)) x WHERE value IS NOT NULL GROUP BY split, n, source, target, scope, value"""
 table("transition_counts", _SCOPED)
 table("source_support", "SELECT split, n, source, scope, value, CAST(sum(cnt) AS BIGINT) AS source_count FROM transition_counts GROUP BY split, n, source, scope, value")
-table("unigram", "SELECT n, target, sum(cnt) / sum(sum(cnt)) OVER (PARTITION BY n) AS p FROM transition_counts WHERE split = 'train' AND scope = 'global' GROUP BY n, target")
+table("unigrams", "SELECT n, target, sum(cnt) / sum(sum(cnt)) OVER (PARTITION BY n) AS p FROM transition_counts WHERE split = 'train' AND scope = 'global' GROUP BY n, target")
+table("unigram", f"SELECT n, target, p FROM unigrams WHERE n = {N}", view=True)
 
 
 def mixture(requests: str) -> str:
@@ -30,7 +33,7 @@ def mixture(requests: str) -> str:
     weighted = f"SELECT r.rid, r.n, r.source, r.scope, r.value, s.source_count, {prior} * CASE WHEN r.scope = 'global' THEN 1.0 ELSE s.source_count / (s.source_count + {HALF}) END AS w FROM ({requests}) r JOIN source_support s ON s.split = 'train' AND s.n = r.n AND s.source = r.source AND s.scope = r.scope AND s.value = r.value"
     return f"""SELECT m.rid, c.target, sum(m.w / t.total * c.cnt / m.source_count) AS p FROM ({weighted}) m JOIN (SELECT rid, sum(w) AS total FROM ({weighted}) k GROUP BY rid) t ON m.rid = t.rid
         JOIN transition_counts c ON c.split = 'train' AND c.n = m.n AND c.source = m.source AND c.scope = m.scope AND c.value = m.value GROUP BY m.rid, c.target
-        UNION ALL SELECT q.rid, u.target, u.p FROM (SELECT DISTINCT rid, n FROM ({requests}) a WHERE rid NOT IN (SELECT rid FROM ({weighted}) b)) q JOIN unigram u ON u.n = q.n"""
+        UNION ALL SELECT q.rid, u.target, u.p FROM (SELECT DISTINCT rid, n FROM ({requests}) a WHERE rid NOT IN (SELECT rid FROM ({weighted}) b)) q JOIN unigrams u ON u.n = q.n"""
 
 
 def request(rid: str, source: str, artist: str | None, genre: str | None, decade: str | None) -> str:
@@ -45,7 +48,7 @@ query("harmonic_sequence", "SELECT song_id, n, position, hkey FROM sequences")
 query("agg_transitions", "SELECT split, scope, value, n, source, target, cnt FROM transition_counts")
 query("agg_source_support", "SELECT split, scope, value, n, source, source_count FROM source_support")
 query("agg_scope_summary", "SELECT split, scope, count(DISTINCT value) AS vals, CAST(sum(cnt) AS BIGINT) AS events FROM transition_counts GROUP BY split, scope")
-query("agg_unigram", "SELECT n, target, round(p, 10) AS p FROM unigram")
+query("agg_unigram", "SELECT n, target, round(p, 10) AS p FROM unigrams")
 query("lm_predict", f"SELECT target, round(p, 8) AS p FROM ({mixture(_ONE)}) d")
 query("lm_top_predictions", f"SELECT target, p FROM (SELECT target, round(p, 8) AS p FROM ({mixture(_ONE)}) d) e ORDER BY p DESC, target LIMIT {TOP}")
 query("lm_suggest_next", f"SELECT e.target, h.example, e.p FROM (SELECT target, round(p, 8) AS p FROM ({mixture(_ONE)}) d ORDER BY round(p, 8) DESC, target LIMIT 5) e JOIN harm h ON h.n = {N} AND h.hkey = e.target")

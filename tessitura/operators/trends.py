@@ -11,7 +11,7 @@ from tessitura.plans.register import query
 from tessitura.plans.store import Store, table
 
 #: Thresholds, scaled to the derived corpus.
-TOP_TARGETS, MIN_WINDOWS, MIN_COUNT, TOP_K, MIN_DOCUMENT_COUNT, ALPHA = 50, 500, 5, 25, 20, 0.5
+TOP_TARGETS, MIN_WINDOWS, MIN_COUNT, TOP_K, MIN_DOCUMENT_COUNT, ALPHA = 100, 500, 5, 25, 20, 0.5
 
 table("strata", """SELECT song_id, 'decade' AS stype, CAST(decade AS STRING) AS svalue FROM songs WHERE decade IS NOT NULL
     UNION ALL SELECT song_id, 'main_genre', main_genre FROM songs WHERE main_genre IS NOT NULL

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessitura import api
+from tessitura.operators import classify, embeddings
 from tessitura.operators import similarity as sim
 from tessitura.plans import catalogue, store
 from tessitura.sources import songs as files
@@ -84,6 +85,22 @@ def test_all_lengths_against_duckdb(spark, duck, name):
     test_against_duckdb(spark, duck, name)
 
 
+def test_ranks_of_the_models(corpus):
+    """Every state, feature and target up to the ranks, each length by itself."""
+    sizes = {r.n: r.c for r in corpus.sql("SELECT n, count(*) AS c FROM harm GROUP BY n").collect()}
+    got = lambda name: {r.n: r.c for r in corpus.sql(f"SELECT n, count(*) AS c FROM {name} GROUP BY n").collect()}
+    assert got("states") == {n: min(1000, sizes[n]) for n in (3, 4, 5)}
+    assert got("embedded") == {n: min(750, sizes[n]) for n in LENGTHS}
+    assert got("targets") == got("exact_targets") == dict.fromkeys(LENGTHS, 100)
+    assert {r.n for r in corpus.table("transitions").select("n").distinct().collect()} == {3, 4, 5}
+    assert all(abs(r.p - 1) < 1e-9 for r in corpus.sql("SELECT n, sum(p) AS p FROM unigrams GROUP BY n").collect())
+    assert embeddings.neighbor_overlap(corpus).count() == sum(got("embedded").values()) - corpus.sql("SELECT n, hkey FROM embedded EXCEPT SELECT n, i FROM ppmi WHERE kind = 'local'").count()
+    vectors = embeddings.factorised(corpus).collect()
+    assert {r.n for r in vectors} == set(LENGTHS) and {len(r.vector) for r in vectors} == {32}
+    least = f"SELECT count(*) AS c FROM (SELECT c.hkey FROM harmonic_counts c JOIN ml_split s ON c.song_id = s.song_id WHERE s.split = 'train' GROUP BY c.hkey HAVING count(*) >= {classify.MIN_DF}) x"
+    assert corpus.table("harmonic_tfidf").select("feature").distinct().count() == min(5000, corpus.sql(least).first().c)
+
+
 def test_fast_scores_like_exact(corpus):
     fast = {r.song_id: r.similarity for r in corpus.sql(sim.similar_fast(1, sim.parse_weights("", (3, 4)), min_shared=1, max_df_rate=1.0)).collect()}
     exact = {r.song_id: r.similarity for r in corpus.sql(sim.similar_exact(1, sim.parse_weights("", (3, 4)), top_k=1000, min_shared=1)).collect()}

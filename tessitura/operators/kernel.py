@@ -156,19 +156,19 @@ def matrix_from_key(store: Store) -> DataFrame:
     return keys.select("n", "harmonic_key", F.get(m, F.lit(0)).alias("first"), F.get(m, F.lit(2)).alias("third"))
 
 
-@query("first_root_normalized_key", duck=f"SELECT ngram, {DUCK_KEY} AS harmonic_key FROM exact WHERE n = 3")
+@query("first_root_normalized_key", duck=f"SELECT ngram, {DUCK_KEY} AS harmonic_key FROM exact")
 def first_root_normalized_key(store: Store) -> DataFrame:
     """From the tokens' text, without the compact key."""
-    return store.table("exact").where("n = 3").select("ngram", c.first_root_normalized_key(F.split("ngram", " ")).alias("harmonic_key"))
+    return store.table("exact").select("ngram", c.first_root_normalized_key(F.split("ngram", " ")).alias("harmonic_key"))
 
 
 _SHIFTED = DUCK_KEY.replace("('0x' || substr(hkey, (3 * i + 1)::INTEGER, 3))::INTEGER >> p::INTEGER", "('0x' || substr(hkey, (3 * i + 1)::INTEGER, 3))::INTEGER >> ((p + 12 - s) % 12)::INTEGER")
 
 
-@query("canonical_transposition_key", duck=f"SELECT n, hkey, min({_SHIFTED}) AS canonical FROM harm, range(12) r(s) WHERE n = 3 GROUP BY n, hkey")
+@query("canonical_transposition_key", duck=f"SELECT n, hkey, min({_SHIFTED}) AS canonical FROM harm, range(12) r(s) GROUP BY n, hkey")
 def canonical_transposition_key(store: Store) -> DataFrame:
-    masks = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.conv(F.substring("hkey", 3 * i + 1, F.lit(3)), 16, 10).cast("int"))
-    return store.table("harm").where("n = 3").select("n", "hkey", c.canonical_transposition_key(masks).alias("canonical"))
+    masks = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.conv(F.substring("hkey", 3 * i + 1, F.lit(3)), 16, 10).cast("int"))
+    return store.table("harm").select("n", "hkey", c.canonical_transposition_key(masks).alias("canonical"))
 
 
 @query(
@@ -213,15 +213,15 @@ DUCK_FAMILY = """CASE WHEN t[2:len(t)] = t[1:len(t) - 1] THEN t[1] || ' loop' WH
     WHEN len(t) > 3 AND t[4:len(t)] = t[1:len(t) - 3] THEN t[1] || ' ' || t[2] || ' ' || t[3] || ' loop' ELSE t[1] || ' ' || t[2] || ' ' || t[3] END"""
 
 
-@query("progression_family", duck=f"SELECT ngram, {DUCK_FAMILY} AS family, CASE WHEN suffix(family, 'loop') THEN 'loop' ELSE 'phrase' END AS kind FROM (SELECT ngram, string_split(ngram, ' ') AS t FROM exact WHERE n = 4 AND cnt >= 2)")
+@query("progression_family", duck=f"SELECT ngram, {DUCK_FAMILY} AS family, CASE WHEN suffix(family, 'loop') THEN 'loop' ELSE 'phrase' END AS kind FROM (SELECT ngram, string_split(ngram, ' ') AS t FROM exact)")
 def progression_family(store: Store) -> DataFrame:
     f = c.progression_family("ngram")
-    return store.table("exact").where("n = 4 AND cnt >= 2").select("ngram", f["family"].alias("family"), f["kind"].alias("kind"))
+    return store.table("exact").select("ngram", f["family"].alias("family"), f["kind"].alias("kind"))
 
 
-@query("short_label", duck=f"SELECT example || ' (' || substr(split_part({DUCK_ID}, '_', 2), 1, 6) || ')' AS label FROM harm WHERE n = 3")
+@query("short_label", duck=f"SELECT example || ' (' || substr(split_part({DUCK_ID}, '_', 2), 1, 6) || ')' AS label FROM harm")
 def short_label(store: Store) -> DataFrame:
-    return store.table("harm").where("n = 3").select(c.short_label("example", class_id()).alias("label"))
+    return store.table("harm").select(c.short_label("example", class_id()).alias("label"))
 
 
 @query("release_year", duck="SELECT song_id, substr(release_date, 1, 4)::INTEGER AS year FROM songs")

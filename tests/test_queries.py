@@ -85,6 +85,12 @@ def test_all_lengths_against_duckdb(spark, duck, name):
     test_against_duckdb(spark, duck, name)
 
 
+@pytest.mark.parametrize("name", ["progression_family", "first_root_normalized_key", "canonical_transposition_key", "short_label"])
+def test_scalar_queries_take_whole_vocabularies(spark, duck, corpus, name):
+    assert catalogue.queries()[name](spark, DATA).count() == corpus.table("exact" if name in ("progression_family", "first_root_normalized_key") else "harm").count()
+    test_against_duckdb(spark, duck, name)
+
+
 def test_ranks_of_the_models(corpus):
     """Every state, feature and target up to the ranks, each length by itself."""
     sizes = {r.n: r.c for r in corpus.sql("SELECT n, count(*) AS c FROM harm GROUP BY n").collect()}

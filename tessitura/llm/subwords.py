@@ -2,18 +2,22 @@
 
 Both vocabularies cut a text into pre-tokens first and merge inside each of them. A cut at a single space whose neighbours are not
 white space always falls between two pre-tokens, so the ids of a text are the ids of its space-delimited units one after another.
-Units repeat, so each worker keeps the library's ids of the units that it has met in a bounded table, and unknown units are handed
-to the library many at a time. Texts with other white space beside a space are cut only
-where the rule holds.
+Arrow cuts a slice of texts into units and numbers the distinct ones; each worker keeps the library's ids of the units that it has met
+in a bounded table, unknown units are handed to the library many at a time, and numpy gathers the ids of the slice from those of its
+distinct units. Texts with other white space beside a space are cut only where the rule holds.
+
+Special strings in a text (such as ``<|endoftext|>``) get their one id, as the library gives it by default: it takes them out of the
+raw text first and encodes what lies between them on its own.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import filterfalse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tessitura.llm import shared
 
@@ -41,7 +45,8 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.between = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.tokenizer.model._resize_cache(0)  # units come here once; looking them up again costs more than it saves
         self.byte = style == "byte"
@@ -91,48 +96,86 @@ class UnitEncoder:
             out[""] = b""
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned integers of ``self.dtype``."""
-        if self.byte:
-            cut = [t.split(" ") for t in texts]
-            heads = [x.tobytes() for x in self._ids([c[0] for c in cut])]
-            cut = [c[1:] for c in cut]
-        else:
-            cut, heads = [t.replace("\n", " ").split(" ") for t in texts], [b""] * len(texts)
-        get, get_older = self.known.get, self.older.get
-        found = [list(map(get, units)) for units in cut]
-        missing: set[str] = set()
-        gaps: list[tuple[int, list[int]]] = []
-        for k, parts in enumerate(found):
-            if None in parts:
-                units = cut[k]
-                at = [i for i, x in enumerate(parts) if x is None]
-                gaps.append((k, at))
-                missing.update([units[i] for i in at])
-        table: dict[str, bytes] = {}
-        for u in missing:
-            if (ids := get_older(u)) is not None:
-                table[u] = ids
-        missing.difference_update(table)
-        unsafe: set[str] = set()
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned integers of ``self.dtype``; a null text has none."""
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        held = np.zeros(len(column), bool)
+        for content in self.special:
+            held |= np.asarray(pc.match_substring(column, content))
+        if not held.any():
+            return self._plain(column)
+        out = self._plain(pc.if_else(pa.array(held), "", column))
+        for k in np.flatnonzero(held).tolist():
+            parts = self.between.split(column[k].as_py())
+            ids = self._plain(pa.array(parts[::2], pa.string())) + [b""]
+            marks = [np.asarray(self.special[x], self.dtype).tobytes() for x in parts[1::2]] + [b""]
+            out[k] = b"".join(x + mark for x, mark in zip(ids, marks))
+        return out
+
+    def _plain(self, column: pa.Array) -> list[bytes]:
+        """The ids of texts without special strings."""
+        lists = pc.split_pattern(column if self.byte else pc.replace_substring(column, "\n", " "), " ")
+        flat, edges = lists.flatten(), np.asarray(lists.offsets, np.int64) - lists.offsets[0].as_py()
+        coded = flat.dictionary_encode()
+        index, units = np.array(coded.indices, np.int64), coded.dictionary.to_pylist()
+        parts, unsafe = self._looked_up(units)
+        whole: list[int] = []
         if self.byte:
-            unsafe = {u for u in missing if not u or u[0].isspace() or u[-1].isspace()}
-            missing -= unsafe
-        table |= self._learn(sorted(missing))
+            # The first unit of a text has no space before it.
+            heads = flat.take(pa.array(edges[:-1])).to_pylist()
+            index[edges[:-1]] = len(parts) + np.arange(len(heads))
+            parts = parts + [x.tobytes() for x in self._ids(heads)]
+            odd = np.zeros(len(parts), bool)
+            odd[unsafe] = True
+            odd[len(units) :] = [h[:1].isspace() or h[-1:].isspace() for h in heads]
+            whole = np.flatnonzero(np.logical_or.reduceat(odd[index], edges[:-1])).tolist() if len(heads) and odd.any() else []
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype.itemsize
+        counts = lengths[index]
+        ends = np.append(0, np.cumsum(counts))
+        at = np.repeat((np.cumsum(lengths) - lengths)[index] - ends[:-1], counts)
+        at += np.arange(len(at))
+        ids = np.frombuffer(b"".join(parts), self.dtype)[at]
+        out = _cut(ids, ends[edges[:-1]], ends[edges[1:]])
+        for k in whole:
+            out[k] = b"".join(x.tobytes() for x in self._pieces(column[k].as_py()))
+        return out
+
+    def _looked_up(self, units: list[str]) -> tuple[list[bytes], list[int]]:
+        """The ids of distinct units, and the places of those at whose edges a text must not be cut."""
+        found = list(map(self.known.get, units))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        new, unsafe = [], []
+        for i in gaps:
+            u = units[i]
+            found[i] = self.older.get(u)
+            if found[i] is None:
+                if self.byte and (not u or u[0].isspace() or u[-1].isspace()):
+                    found[i] = b""
+                    unsafe.append(i)
+                else:
+                    new.append(u)
+        learned = self._learn(new)
         if len(self.known) > CACHE_UNITS:
             self.known, self.older = {}, self.known
-        self.known.update((u, ids) for u, ids in table.items() if len(u) <= CACHE_CHARS)
-        whole: set[int] = {k for k, t in enumerate(texts) if t[:1].isspace() or t.partition(" ")[0][-1:].isspace()} if self.byte else set()
-        for k, at in gaps:
-            units, parts = cut[k], found[k]
-            if unsafe and any(units[i] in unsafe for i in at):
-                whole.add(k)
-            else:
-                for i in at:
-                    parts[i] = table[units[i]]
-        for k in whole:
-            heads[k], found[k] = b"", [x.tobytes() for x in self._ids(_SAFE_CUT.split(texts[k]))]
-        return [head + b"".join(parts) for head, parts in zip(heads, found, strict=True)]
+        odd = set(unsafe)
+        for i in gaps:
+            u = units[i]
+            if found[i] is None:
+                found[i] = learned[u]
+            if len(u) <= CACHE_CHARS and i not in odd:
+                self.known[u] = found[i]
+        return found, unsafe
+
+    def _pieces(self, text: str):
+        """The ids of the safe cuts of a text, many in one call but never more than some megabytes."""
+        held, size = [], 0
+        for piece in _SAFE_CUT.split(text):
+            held.append(piece)
+            size += len(piece)
+            if size > 1 << 20:
+                yield from self._ids(held)
+                held, size = [], 0
+        yield from self._ids(held)
 
 
 def _cut(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:

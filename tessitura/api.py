@@ -62,7 +62,7 @@ def search(store: Store, params: dict) -> DataFrame:
     links = params.get("spotify", "all")
     if links not in ("all", "only", "prefer"):
         raise ApiError(400, "spotify must be all, only or prefer")
-    return store.sql(sim.search_songs(params.get("q", ""), sim.bounded_int(params.get("limit"), 20, 1, 50), links))
+    return sim.search_songs(store, params.get("q", ""), sim.bounded_int(params.get("limit"), 20, 1, 50), links)
 
 
 @route("/api/song")

@@ -152,16 +152,20 @@ def similar_by_n(song_id: int, weights: dict[int, float], top_k: int = 10, colum
 table("search_summary", "SELECT s.song_id, s.artist_id, s.main_genre, s.decade, s.track_id, CAST(coalesce(sum(t.indexed), 0) AS BIGINT) AS indexed_windows, CAST(coalesce(sum(t.uniq), 0) AS BIGINT) AS indexed_features FROM songs s LEFT JOIN totals t ON s.song_id = t.song_id GROUP BY s.song_id, s.artist_id, s.main_genre, s.decade, s.track_id")
 
 
-def search_songs(text: str, limit: int = 20, links: str = "all") -> str:
-    """Metadata search, best matches first; an empty text browses the songs with most features. links: all, only or prefer."""
-    q = text.lower().replace("'", "''")
-    tests = [f"lower(coalesce({c}, '')) LIKE '%{q}%'" for c in ("artist_id", "main_genre", "track_id")] + [f"CAST(song_id AS STRING) = '{q}'"]
-    where = "indexed_features > 0" + (f" AND ({' OR '.join(tests)})" if q else "") + (" AND track_id IS NOT NULL" if links == "only" else "")
-    rank = f"CASE WHEN CAST(song_id AS STRING) = '{q}' OR lower(coalesce(track_id, '')) = '{q}' THEN 0 WHEN lower(coalesce(artist_id, '')) = '{q}' THEN 1 ELSE 2 END, " if q else ""
+def search_sql(has_text: bool, limit: int = 20, links: str = "all") -> str:
+    """The SQL of ``search_songs``; the text, lower-cased, is the parameter ``:q``, so it is never part of the statement."""
+    tests = [f"contains(lower(coalesce({c}, '')), :q)" for c in ("artist_id", "main_genre", "track_id")] + ["CAST(song_id AS STRING) = :q"]
+    where = "indexed_features > 0" + (f" AND ({' OR '.join(tests)})" if has_text else "") + (" AND track_id IS NOT NULL" if links == "only" else "")
+    rank = "CASE WHEN CAST(song_id AS STRING) = :q OR lower(coalesce(track_id, '')) = :q THEN 0 WHEN lower(coalesce(artist_id, '')) = :q THEN 1 ELSE 2 END, " if has_text else ""
     first = "CASE WHEN track_id IS NOT NULL THEN 0 ELSE 1 END, " if links == "prefer" else ""
     return f"SELECT song_id, artist_id, main_genre, track_id, indexed_features FROM search_summary WHERE {where} ORDER BY {first}{rank}indexed_features DESC, song_id LIMIT {limit}"
 
 
+def search_songs(store, text: str, limit: int = 20, links: str = "all"):
+    """Metadata search, best matches first; an empty text browses the songs with most features. links: all, only or prefer."""
+    return store.sql(search_sql(bool(text), limit, links), {"q": text.lower()} if text else None)
+
+
 W = {n: n / 3 for n in NS}
 query("song_tfidf", "SELECT song_id, n, hkey, cnt, round(tf_frequency, 8) AS tf_frequency, round(tf_log_count, 8) AS tf_log_count, round(idf, 8) AS idf, round(tfidf_frequency, 8) AS tfidf_frequency, round(tfidf_log_count, 6) AS tfidf_log_count FROM tfidf")
 query("similar_exact", similar_exact(1, W))
@@ -174,8 +178,8 @@ query("compare_n_fast", compare_n(1, NS, max_df_rate=0.2))
 query("explain_features", explain_features(1, 3, W))
 query("explain_by_n", explain_by_n(1, 3, W))
 query("explain_unique", explain_unique(1, 3, W))
-query("search_songs", search_songs("src1"))
-query("search_browse", search_songs("", links="prefer"))
+query("search_songs", duck=search_sql(True).replace(":q", "'src1'"))(lambda s: search_songs(s, "src1"))
+query("search_browse", search_sql(False, links="prefer"))
 query("lookup_cached_ids", "SELECT track_id, min(CASE WHEN track_id = 't1' THEN 0 WHEN track_id LIKE 't1%' THEN 1 ELSE 2 END) AS place FROM songs WHERE lower(coalesce(track_id, '')) LIKE '%1%' GROUP BY track_id ORDER BY place, track_id LIMIT 20")
 query("song_detail", "SELECT s.song_id, s.artist_id, s.main_genre, s.decade, t.n, t.total_windows, t.uniq, array_join(slice(s.tokens, 1, 24), ' ') || CASE WHEN size(s.tokens) > 24 THEN ' ...' ELSE '' END AS excerpt FROM songs s JOIN totals t ON s.song_id = t.song_id WHERE s.song_id = 5",
       "SELECT s.song_id, s.artist_id, s.main_genre, s.decade, t.n, t.total_windows, t.uniq, (SELECT string_agg(token, ' ' ORDER BY pos) || CASE WHEN (SELECT count(*) FROM tokens WHERE song_id = 5) > 24 THEN ' ...' ELSE '' END FROM tokens WHERE song_id = 5 AND pos < 24) AS excerpt FROM songs s JOIN totals t ON s.song_id = t.song_id WHERE s.song_id = 5")

@@ -83,13 +83,13 @@ class Store:
                     self.keep(name, df)
         return self.kept[name]
 
-    def sql(self, text: str) -> DataFrame:
-        """Spark SQL over the store's tables."""
+    def sql(self, text: str, args: dict | None = None) -> DataFrame:
+        """Spark SQL over the store's tables; ``args`` are the values of named parameters."""
         for name in names_in(text):
             self.table(name)
         for name in names_in(text):
             self.kept[name].createOrReplaceTempView(name)
-        return self.spark.sql(text)
+        return self.spark.sql(text, args)
 
 
 def names_in(sql: str) -> list[str]:

@@ -183,3 +183,11 @@ def test_entry_works_without_the_training_operators(monkeypatch):
 
     assert "similar_exact" in entry.queries() and not any(n.startswith("op") for n in entry.queries())
     assert "similar_exact" in entry.oracle_sql()
+
+
+@pytest.mark.parametrize("text", ["\\' OR true) ORDER BY 1 -- ", "a\\", "'", "\\", "%", "_", ":q"])
+def test_search_text_is_no_sql(corpus, text):
+    like = F.lit(text.lower())
+    held = [F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), like) for c in ("artist_id", "main_genre", "track_id")]
+    want = corpus.table("search_summary").where("indexed_features > 0").where(held[0] | held[1] | held[2]).count()
+    assert api.ROUTES["/api/search"](corpus, {"q": text}).count() == min(want, 20)

@@ -8,7 +8,9 @@ First pass: every block is decided by its length, link density and density of st
 good, or short and undecided. Second pass: near-good and short blocks take the label of the nearest decided neighbours in page order;
 between neighbours that disagree, a near-good block is good and a short one follows the nearer of the two. The content element
 (article, main or the role main), where a page has one, bounds the text: blocks outside it are bad and undecided ones inside it that
-have no decided neighbour are good.
+have no decided neighbour are good. A page with no text by these rules is read again, and a content element then counts although a form
+or an element whose names make it furniture (but not hidden, and no readers' comments) lies around it. Where the stop words of no list
+occur, length and link density decide alone.
 
 Nulls: a null or empty page has no text. Unclosed, misnested and truncated markup is read as far as it goes. Equal rows are read one
 by one; an empty table gives an empty result; columns named in ``keep`` are carried, others are not read.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,6 +45,8 @@ FURNITURE = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar footer masthead topbar toolbar widget related recommended recommendations comment comments commentlist disqus reply replies discussion pagination pager search toc tags "
     "complementary contentinfo search form alertdialog".split()
 )
+#: Those of them that name readers' words.
+READERS = frozenset("comment comments commentlist disqus reply replies discussion feedback".split())
 HEADERS = frozenset("header site-header page-header top-header".split())
 #: Frequent words of the languages that pages come in.
 STOP_WORDS = frozenset(
@@ -51,7 +56,7 @@ STOP_WORDS = frozenset(
     "el los las y del por con para una su al lo como más pero sus o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos ".split()
 )
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<([/]?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<[!?][^>]*(?:>|$)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<([/]?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*)(?:>|$)|<[!?][^>]*(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 _NAMES = re.compile(r"[a-zA-Z]+")
 _SPACE = re.compile(r"\s+")
@@ -79,32 +84,39 @@ class Rules:
     inner_links: float = 0.5
     stop_low: float = 0.08
     stop_high: float = 0.16
+    unlisted: float = 0.02  # below this share of stop words in its longer blocks a page is in a language without a list
 
 
-def _furniture(attributes: str) -> bool:
-    hidden = False
+def _furniture(attributes: str) -> str:
+    """How an element's names put it out of the text: ``hard`` (hidden, or readers' comments), ``soft`` (other furniture) or not at all."""
+    hidden = soft = False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id", "role"):
             # Only a name's own words count: "leading-article" is no advert, "ad-slot" is one.
             for token in value.split():
                 words = _NAMES.findall(token)
-                if token in HEADERS or words and (words[0] in FURNITURE or words[-1] in FURNITURE):
-                    return True
+                if words and not READERS.isdisjoint((words[0], words[-1])):
+                    return "hard"
+                soft = soft or token in HEADERS or bool(words) and (words[0] in FURNITURE or words[-1] in FURNITURE)
         elif name == "style":
             hidden = hidden or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) is not None
         elif name == "aria-hidden" and value == "true":
             hidden = True
-    return hidden or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes) is not None
+    if hidden or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes):
+        return "hard"
+    return "soft" if soft else ""
 
 
-def segment(page: str) -> tuple[list[Block], bool]:
-    """The blocks of a page outside its furniture, and whether it has a content element."""
+def segment(page: str, lenient: bool = False) -> tuple[list[Block], bool]:
+    """The blocks of a page outside its furniture, and whether it has a content element; lenient: one inside a form or an element that only
+    its names make furniture counts."""
     blocks: list[Block] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, skipped, content
-    skipped = content = anchors = 0
+    stack: list[tuple[str, str, bool, int]] = []  # open elements: name, skipped, content, furniture around it that it lifts
+    opened: Counter[str] = Counter()
+    skipped = soft = content = anchors = 0  # soft: those of the skipped that a content element lifts
     heading = found = False
 
     def close() -> None:
@@ -125,9 +137,14 @@ def segment(page: str) -> tuple[list[Block], bool]:
                 linked += len(text.strip())
 
     def leave() -> str:
-        nonlocal skipped, content, anchors
-        name, skip, inner = stack.pop()
-        skipped -= skip
+        nonlocal skipped, soft, content, anchors
+        name, skip, inner, lifted = stack.pop()
+        opened[name] -= 1
+        if skip:
+            skipped -= 1
+            soft -= skip == "soft"
+        skipped += lifted
+        soft += lifted
         content -= inner
         anchors -= name == "a"
         return name
@@ -157,13 +174,8 @@ def segment(page: str) -> tuple[list[Block], bool]:
                 close()
             if name in HEADINGS:
                 heading = False
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    while len(stack) > depth:
-                        leave()
-                    break
-            if name == "p" and not any(x[0] == "p" for x in stack):
-                continue
+            while opened[name] and leave() != name:
+                pass
         else:
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -172,8 +184,8 @@ def segment(page: str) -> tuple[list[Block], bool]:
                 continue
             if name in BLOCKS:
                 close()
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] in CLOSES.get(name, ()):
+                for depth in range(len(stack) - 1, -1, -1) if any(opened[x] for x in CLOSES.get(name, ())) else ():
+                    if stack[depth][0] in CLOSES[name]:
                         while len(stack) > depth:
                             leave()
                         break
@@ -184,13 +196,18 @@ def segment(page: str) -> tuple[list[Block], bool]:
             if name in HEADINGS:
                 heading = True
             inner = name in ("article", "main") or "main" in m[4] and re.search(r"role\s*=\s*[\"']?main\b", m[4]) is not None
-            skip = name in SKIPPED or name == "header" and not content or (name not in ("html", "body") and bool(m[4]) and _furniture(m[4]))
+            skip = _furniture(m[4]) if m[4] and name not in ("html", "body") else ""
+            if skip != "hard" and (name in SKIPPED or name == "header" and not content):
+                skip = "soft" if name == "form" else "hard"
             if name == "body":
                 while stack and stack[-1][0] == "head":
                     leave()
             if not m[4].endswith("/") or name in BLOCKS:
-                stack.append((name, skip, inner))
-                skipped += skip
+                lifted = soft if lenient and inner and not skip and skipped == soft else 0
+                stack.append((name, skip, inner, lifted))
+                opened[name] += 1
+                skipped += bool(skip) - lifted
+                soft += (skip == "soft") - lifted
                 content += inner
                 anchors += name == "a"
                 found = found or inner and not skipped
@@ -198,8 +215,8 @@ def segment(page: str) -> tuple[list[Block], bool]:
     return blocks, found
 
 
-def first_pass(block: Block, rules: Rules) -> str:
-    """The label of a block by itself."""
+def first_pass(block: Block, rules: Rules, listed: bool = True) -> str:
+    """The label of a block by itself; by length and links alone where the page's language has no stop words here (``listed``)."""
     n = len(block.text)
     if block.linked / n > (rules.inner_links if block.inside else rules.links):
         return BAD
@@ -207,8 +224,10 @@ def first_pass(block: Block, rules: Rules) -> str:
         return BAD
     if n < rules.short:
         return SHORT
-    words = _WORD.findall(block.text)
-    stops = sum(w.lower() in STOP_WORDS for w in words) / max(1, len(words))
+    if not listed and not block.inside:
+        return GOOD if n > rules.long else NEAR
+    words, stops = _stops(block)
+    stops /= max(1, words)
     if stops >= rules.stop_high:
         return GOOD if n > rules.long else NEAR
     if stops >= rules.stop_low or block.inside:
@@ -216,6 +235,12 @@ def first_pass(block: Block, rules: Rules) -> str:
     return BAD
 
 
+def _stops(block: Block) -> tuple[int, int]:
+    """A block's words, and how many of them are stop words."""
+    words = _WORD.findall(block.text)
+    return len(words), sum(w.lower() in STOP_WORDS for w in words)
+
+
 def second_pass(blocks: list[Block], bounded: bool) -> None:
     """Labels for near-good and short blocks from the nearest decided neighbours."""
     n = len(blocks)
@@ -252,11 +277,16 @@ def main_text(page: str | None, rules: Rules = Rules()) -> str:
     """The article of a page: its good blocks in page order, one line each."""
     if not page:
         return ""
-    blocks, bounded = segment(page)
+    return _chosen(*segment(page), rules) or _chosen(*segment(page, lenient=True), rules)
+
+
+def _chosen(blocks: list[Block], bounded: bool, rules: Rules) -> str:
     if bounded:
         blocks = [b for b in blocks if b.inside]
+    counts = [_stops(b) for b in blocks if len(b.text) >= rules.short and b.linked <= rules.links * len(b.text)]
+    listed = sum(s for _, s in counts) >= rules.unlisted * sum(w for w, _ in counts)
     for b in blocks:
-        b.label = first_pass(b, rules)
+        b.label = first_pass(b, rules, listed)
     second_pass(blocks, bounded)
     return "\n".join(b.text for b in blocks if b.label == GOOD)
 

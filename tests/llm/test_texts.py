@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -165,6 +166,35 @@ def test_page_without_an_article():
     assert blocks.main_text(page) == f"Heading\n{good.strip()}\nIt is.\n{good.strip()}"
 
 
+RUSSIAN = "Кошка сидела на окне и смотрела во двор, где дети играли в мяч и громко смеялись до самого вечера. " * 4
+
+
+@pytest.mark.parametrize("opening", ["<div class='no-sidebar'>", "<div class='menu-closed page'>", "<form id='aspnetForm'>"])
+def test_furniture_around_an_article_does_not_hide_it(opening):
+    closing = opening[:5].replace("<", "</").strip() + ">"
+    assert blocks.main_text(f"<body><nav>Home</nav>{opening}<article><p>The text of it.</p><form>Mail</form></article>{closing}<footer>End</footer></body>") == "The text of it."
+    assert blocks.main_text(f"<body>{opening}<div class='user-comments'><article><p>I think so.</p></article></div>{closing}</body>") == ""
+
+
+def test_a_language_without_stop_words():
+    assert blocks.main_text(f"<body><p><a href='/'>Главная</a></p><div><p>{RUSSIAN}</p></div></body>") == RUSSIAN.strip()
+
+
+def test_readers_feedback_is_no_text():
+    page = "<body><article><p>The text of it.</p></article><div class='user-feedback'><article><p>I think so.</p></article></div></body>"
+    assert blocks.main_text(page) == "The text of it."
+
+
+def test_quotes_in_tags():
+    assert blocks.main_text("<article><p class=\"x>One</p><p>Two <a href=it's>three</a> and more of it</p></article>") == "One\nTwo three and more of it"
+
+
+def test_unclosed_tags_take_linear_time():
+    start = time.perf_counter()
+    blocks.main_text("<article>" + "<b>" * 20000 + "text" + "</i>" * 20000 + "</article>")
+    assert time.perf_counter() - start < 1
+
+
 @given(st.text(alphabet="<>/abp\"'= &;!-\n", max_size=80))
 def test_any_markup_is_read(page):
     text = blocks.main_text(page)

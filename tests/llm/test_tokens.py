@@ -21,7 +21,7 @@ def library(name):
 
 def odd_texts(n, alphabet=" \n\t \x1c\x85ab1'sé́Σ<|>漢🦙\x00"):
     r = random.Random(4)
-    return ["".join(r.choice(alphabet) for _ in range(r.randrange(40))) for _ in range(n)] + [t or "" for _, t, _ in CASES] + ["<|endoftext|> a <|endoftext|>"]
+    return ["".join(r.choice(alphabet) for _ in range(r.randrange(40))) for _ in range(n)] + [t or "" for _, t, _ in CASES] + ["<|endoftext|> a <|endoftext|>", "<|startoftext|>x", "<|startoftext|>", "a<|endoftext|>b<|endoftext|><|endoftext|> c", " <|endoftext|>\n<|startoftext|> "]
 
 
 @pytest.mark.parametrize(("name", "style"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])

@@ -87,15 +87,6 @@ def write(docs: DataFrame, out_dir: str, vocabulary: str, style: str = "byte", e
     """Encode and write every row of ``docs`` under ``out_dir``, a folder that all executors share; returns the staged manifest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import cProfile, pstats, os, time
-        pr = cProfile.Profile(); a=time.process_time(); pr.enable()
-        yield from run0(batches)
-        pr.disable(); 
-        with open(f"/tmp/prof-{os.getpid()}-{TaskContext.get().partitionId()}","w") as f:
-            f.write(f"total {time.process_time()} task {time.process_time()-a}\n")
-            pstats.Stats(pr, stream=f).sort_stats('tottime').print_stats(16)
-
-    def run0(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = subwords.encoder(vocabulary, style)
         width, end = encode.dtype.itemsize, np.asarray([end_id], encode.dtype).tobytes()
         task = TaskContext.get()

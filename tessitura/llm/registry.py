@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm import blocks, e8dedup, kkshard, knlm, langid, minhash, packing, piecebpe, quality, records, shared
+from tessitura.llm import blocks, e8dedup, fim, kkshard, knlm, langid, minhash, packing, piecebpe, quality, records, shared
 
 
 def vocabulary(name: str) -> str:
@@ -98,9 +98,27 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecebpe.encode_documents(shared.documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's fill-in-the-middle form and of the text rebuilt from it."""
+    return fim.digests(shared.documents(spark, sf_dir))
+
+
+#: By positions in the text instead of lists of units.
+FILL_IN_MIDDLE_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+e AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS c1, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS c2,
+    CASE WHEN n = 0 OR regexp_matches(x, '<[PSM]>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain' WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+f AS (SELECT doc_id, x, n, form, least(c1, c2) AS a, greatest(c1, c2) - least(c1, c2) AS m FROM e)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN m END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || substring(x, 1, a) || '<S>' || substring(x, a + m + 1) || '<M>' || substring(x, a + 1, m)
+        ELSE '<S>' || substring(x, a + m + 1) || '<P>' || substring(x, 1, a) || '<M>' || substring(x, a + 1, m) END) AS output_sha256,
+    sha256(x) AS restored_sha256 FROM f
+"""
+
+
 def queries():
     return {k: f for k, f in globals().items() if k[:2] == "op" and callable(f)}
 
 
 def oracle_sql():
-    return {"op4_quality": QUALITY_SQL}
+    return {"op4_quality": QUALITY_SQL, "op13_fill_in_middle": FILL_IN_MIDDLE_SQL}

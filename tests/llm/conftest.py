@@ -41,3 +41,8 @@ def corpus(spark):
     if not os.path.isdir(folder):
         pytest.skip("no test tables here")
     return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+@pytest.fixture
+def corpus_dir(corpus):
+    return "/root/testdata/sf0.001"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm import blocks, e8dedup, fim, kkshard, knlm, langid, minhash, packing, piecebpe, quality, records, shared
+from tessitura.llm import blocks, e8dedup, fim, kkshard, knlm, langid, minhash, packing, piecebpe, quality, records, shared, textquality
 
 
 def vocabulary(name: str) -> str:
@@ -98,6 +98,14 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecebpe.encode_documents(shared.documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document; labels of the held-out fold are never seen."""
+    fold = langid.held_out(folds=3, fold=1)
+    docs = shared.documents(spark, sf_dir).withColumn("held_out", fold)
+    model = textquality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~fold))
+    return textquality.score(docs, model, keep=("doc_id", "held_out"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's fill-in-the-middle form and of the text rebuilt from it."""
     return fim.digests(shared.documents(spark, sf_dir))

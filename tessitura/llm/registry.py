@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm import blocks, e8dedup, fim, kkshard, knlm, langid, minhash, packing, piecebpe, quality, records, shared, textquality
+from tessitura.llm import blocks, e8dedup, fim, kkshard, knlm, langid, lexsearch, minhash, packing, piecebpe, quality, records, shared, textquality
 
 
 def vocabulary(name: str) -> str:
@@ -98,6 +98,27 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecebpe.encode_documents(shared.documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for every benchmark item."""
+    return lexsearch.search(shared.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+LEXICAL_SEARCH_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents WHERE text IS NOT NULL),
+s AS (SELECT rid, doc_id, len(ws)::BIGINT AS n FROM d WHERE len(ws) > 0),
+g AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM s),
+p AS (SELECT rid, term, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(ws) AS term FROM d) x GROUP BY rid, term),
+f AS (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM f, g),
+m AS (SELECT rid, doc_id, 100 - 25 + ((25 * n * n_docs) // n_terms) AS m FROM s, g),
+q AS (SELECT irow, item_id, term, count(*)::BIGINT AS c FROM (SELECT irow, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT row_number() OVER () AS irow, item_id, text FROM benchmark) b) y GROUP BY irow, item_id, term),
+r AS (SELECT irow, item_id, rid, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (rid) GROUP BY irow, item_id, rid, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY irow ORDER BY score DESC, doc_id NULLS LAST, rid))::INTEGER AS rank, doc_id, score FROM r WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY irow ORDER BY score DESC, doc_id NULLS LAST, rid) <= 20
+"""
+
+
 def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of every document; labels of the held-out fold are never seen."""
     fold = langid.held_out(folds=3, fold=1)
@@ -129,4 +150,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_quality": QUALITY_SQL, "op13_fill_in_middle": FILL_IN_MIDDLE_SQL}
+    return {"op4_quality": QUALITY_SQL, "op11_lexical_search": LEXICAL_SEARCH_SQL, "op13_fill_in_middle": FILL_IN_MIDDLE_SQL}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.functions import chords as c
-from tessitura.operators.ngrams import DUCK_KEY, MASKS, ROOTS, text_key
+from tessitura.operators.ngrams import DUCK_KEY, MASKS, NS, ROOTS, read_grams, text_key, words_of
 from tessitura.plans.register import query
 from tessitura.plans.store import Store
 from tessitura.sources.songs import ALPHABET
@@ -158,8 +158,13 @@ def matrix_from_key(store: Store) -> DataFrame:
 
 @query("first_root_normalized_key", duck=f"SELECT ngram, {DUCK_KEY} AS harmonic_key FROM exact")
 def first_root_normalized_key(store: Store) -> DataFrame:
-    """From the tokens' text, without the compact key."""
-    return store.table("exact").select("ngram", c.first_root_normalized_key(F.split("ngram", " ")).alias("harmonic_key"))
+    """Each distinct token is parsed once; roots and masks are looked up by code, and the key's bits read from the packed masks."""
+    read = read_grams(store.table("grams"), words_of(store), "n")
+    mask = lambda i: F.shiftright(F.col("u") if i < 5 else F.col("v"), 12 * (4 - i if i < 5 else 7 - i))
+    bit = lambda i, p: F.shiftright(mask(i), p).bitwiseAND(1).cast("string")
+    rows = lambda n: F.concat(F.lit(f"{n}:"), *(bit(i, p) for p in range(12) for i in range(n)))
+    key = F.coalesce(*(F.when(F.col("n") == n, rows(n)) for n in NS))
+    return read.select("ngram", F.when(F.col("u").isNotNull() & F.col("v").isNotNull(), key).alias("harmonic_key"))
 
 
 _SHIFTED = DUCK_KEY.replace("('0x' || substr(hkey, (3 * i + 1)::INTEGER, 3))::INTEGER >> p::INTEGER", "('0x' || substr(hkey, (3 * i + 1)::INTEGER, 3))::INTEGER >> ((p + 12 - s) % 12)::INTEGER")

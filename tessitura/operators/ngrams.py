@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.functions import chords
+from tessitura.plans.ranking import placed
 from tessitura.plans.store import Store, table
 from tessitura.sources.songs import ALPHABET, UNREADABLE, songs_from_documents
 
@@ -56,59 +57,173 @@ def songs(store: Store) -> DataFrame:
     return songs_from_documents(store.table("documents"))
 
 
-def token_rows(songs: DataFrame) -> DataFrame:
-    """song_id, pos, token, root, mask and error of every token. Each distinct token is parsed once; the join back is a broadcast
-    where the dictionary is small enough for Spark's threshold."""
-    rows = songs.select("song_id", F.posexplode("tokens").alias("pos", "token"))
-    read = rows.select("token").distinct().select("token", chords.chord_bits("token").alias("c"))
-    read = read.select("token", "c.root", "c.mask", "c.error")
-    return rows.join(read, "token").select("song_id", "pos", "token", "root", "mask", "error")
+#: Packed n-grams: three codes of tokens (plus one, 0 for none) of so many bits in each of three integers.
+BITS = 21
+MOST_TOKENS = (1 << BITS) - 2
+
+
+def dictionary_of(songs: DataFrame) -> DataFrame:
+    """token, code, root, mask and error of every distinct token, parsed once. Codes follow the order of the tokens' text, so that packed
+    n-grams sort like their text."""
+    distinct = songs.select(F.explode("tokens").alias("token")).distinct()
+    coded = placed(distinct, [F.col("token").asc()], name="code")
+    read = coded.select("token", (F.col("code") - 1).cast("int").alias("code"), chords.chord_bits("token").alias("c"))
+    return read.select("token", "code", "c.root", "c.mask", "c.error")
+
+
+@table("dictionary")
+def dictionary(store: Store) -> DataFrame:
+    return dictionary_of(store.table("songs"))
+
+
+def token_rows(songs: DataFrame, words: DataFrame) -> DataFrame:
+    """song_id, pos, token, code, root, mask and error of every token; the join is a broadcast where the dictionary is small enough for
+    Spark's threshold."""
+    return songs.select("song_id", F.posexplode("tokens").alias("pos", "token")).join(words, "token").select("song_id", "pos", "token", "code", "root", "mask", "error")
 
 
 @table("tokens", duck=_duck_tokens(False))
 def tokens(store: Store) -> DataFrame:
-    return token_rows(store.table("songs"))
+    return token_rows(store.table("songs"), store.table("dictionary"))
 
 
 @table("dirty_tokens", duck=_duck_tokens(True))
 def dirty_tokens(store: Store) -> DataFrame:
-    return token_rows(songs_from_documents(store.table("documents"), dirty=True))
+    songs = songs_from_documents(store.table("documents"), dirty=True)
+    return token_rows(songs, dictionary_of(songs))
 
 
-def windows(tokens: DataFrame, ns) -> DataFrame:
-    """song_id, n, pos, ngram, hkey and error of every window. hkey is the class in three hex digits per chord: the masks moved so
-    that the first root is C; text keys and ids are made after aggregation only."""
-    over = Window.partitionBy("song_id").orderBy("pos")
-    top = max(ns)
-    step = F.pmod(F.lit(12) - F.col("root"), F.lit(12))
-    ahead = {f"{c[0]}{i}": F.lead(c, i).over(over) for i in range(top) for c in ("token", "mask", "error")}
-    wide = tokens.select("song_id", "pos", step.alias("step"), *(x.alias(k) for k, x in ahead.items()))
+@table("packed_songs")
+def packed_songs(store: Store) -> DataFrame:
+    return packed(store.table("tokens"))
+
+
+def packed(tokens: DataFrame) -> DataFrame:
+    """song_id and the codes of its tokens in order: windows come from this array without a shuffle."""
+    rows = tokens.groupBy("song_id").agg(F.sort_array(F.collect_list(F.struct("pos", "code"))).alias("t"))
+    return rows.select("song_id", F.transform("t", lambda x: x["code"]).alias("codes"))
+
+
+class Words:
+    """The dictionary as literal arrays for expressions: each distinct token is parsed once, on reading its code nothing is parsed."""
+
+    def __init__(self, words: DataFrame):
+        rows = words.orderBy("code").limit(MOST_TOKENS + 1).collect()
+        if len(rows) > MOST_TOKENS:
+            raise ValueError(f"more than {MOST_TOKENS} distinct tokens: these are no chords")
+        literal = lambda name, kind: F.split(F.lit("\x01".join("" if r[name] is None else str(r[name]) for r in rows)), "\x01").try_cast(f"array<{kind}>")
+        self.tokens, self.errors = literal("token", "string"), literal("error", "string")
+        self.roots, self.masks = literal("root", "int"), literal("mask", "int")
+        self.readable = all(r["mask"] is not None for r in rows)
+
+    def error(self, code):
+        return F.nullif(F.get(self.errors, code), F.lit(""))
+
+
+def words_of(store: Store) -> Words:
+    if "words" not in store.kept:
+        store.kept["words"] = Words(store.table("dictionary"))
+    return store.kept["words"]
+
+
+_LANES = lambda of: F.array(*(F.lit(sum(of(s) << 12 * k for k in range(5))).cast("long") for s in range(12)))
+
+
+def turned(x, step):
+    """Up to five masks of 12 bits in one integer, each moved up by ``step`` pitch classes at once."""
+    up = F.call_function("shiftleft", x, step).bitwiseAND(F.get(_LANES(lambda s: chords.FULL ^ ((1 << s) - 1)), step))
+    return up.bitwiseOR(F.call_function("shiftrightunsigned", x, 12 - step).bitwiseAND(F.get(_LANES(lambda s: (1 << s) - 1), step)))
+
+
+def _joined(values, width: int):
+    """Integers side by side in one, the first highest."""
+    total = F.lit(0).cast("long")
+    for k, v in enumerate(reversed(values)):
+        total = total.bitwiseOR(F.shiftleft(v.cast("long"), width * k))
+    return total
 
-    def turned(i: int):
-        m = F.col(f"m{i}")
-        moved = F.call_function("shiftleft", m, F.col("step")).bitwiseOR(F.call_function("shiftright", m, 12 - F.col("step"))).bitwiseAND(F.lit(chords.FULL))
-        return F.lower(F.lpad(F.hex(moved), 3, "0"))
 
-    wide = wide.select("*", *(turned(i).alias(f"h{i}") for i in range(top)))
+def _kept(width: int, places: int, first: int):
+    """By length n: the bits of the places first, first + 1, ... that lie inside a window of n."""
+    keep = lambda n: sum(((1 << width) - 1) << width * (places - 1 - k) for k in range(places) if first + k < n)
+    return F.get(F.array(*(F.lit(keep(n)).cast("long") for n in range(9))), F.col("n"))
 
-    def part(n: int):
-        error = F.coalesce(*(F.col(f"e{i}") for i in range(n)))
-        key = F.when(error.isNull(), F.concat(*(F.col(f"h{i}") for i in range(n))))
-        return F.when(F.col(f"t{n - 1}").isNotNull(), F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *(f"t{i}" for i in range(n))).alias("ngram"), key.alias("hkey"), error.alias("error")))
 
-    parts = F.explode(F.array_compact(F.array(*map(part, ns))))
-    return wide.select("song_id", "pos", parts.alias("w")).select("song_id", "w.n", "pos", "w.ngram", "w.hkey", "w.error")
+def gram_codes() -> list:
+    """The codes that (a, b, c) hold, -1 beyond the end."""
+    return [F.shiftright(F.col(name), BITS * k).bitwiseAND((1 << BITS) - 1).cast("int") - 1 for name in "abc" for k in (2, 1, 0)]
+
+
+def hex_key(n):
+    """The text of a class (u, v): three hex digits a chord."""
+    digits = lambda x, width: F.lpad(F.lower(F.hex(x)), width, "0")
+    return F.when(F.col("u").isNotNull() & F.col("v").isNotNull(), F.substring(F.concat(digits("u", 15), digits("v", 9)), F.lit(1), 3 * n))
+
+
+def class_of(hkey) -> list:
+    """(u, v) of a class's text."""
+    full = F.rpad(hkey, 24, "0")
+    return [F.conv(F.substring(full, at, size), 16, 10).cast("long").alias(name) for at, size, name in ((1, 15, "u"), (16, 9, "v"))]
+
+
+def leads(songs: DataFrame, ns) -> DataFrame:
+    """song_id, pos and the codes c0, c1, ... of each position and those after it, null beyond the end."""
+    size, top = F.size("codes"), max(ns)
+    ahead = [F.slice("codes", F.lit(i + 1), size) for i in range(top)]
+    return songs.select("song_id", F.inline(F.arrays_zip(F.sequence(F.lit(0), size - 1), *ahead)).alias("pos", *(f"c{i}" for i in range(top))))
+
+
+def spread(songs: DataFrame, ns, words: Words | None = None, grams: bool = False, whole: bool = False) -> DataFrame:
+    """song_id, pos and n of every window of :func:`packed` songs; for ``grams`` its packed codes (a, b, c: three codes each), for ``words``
+    its class (u, v: five and three masks, moved so that the first root is C), null if a token cannot be read (``whole``: no row then).
+
+    A position is packed and turned once for the longest window; shorter ones keep its first bits."""
+    rows = leads(songs, ns)
+    codes = [F.col(f"c{i}") for i in range(max(ns))]
+    wide = [sum((c.isNotNull().cast("int") for c in codes[1:]), F.lit(1)).alias("left")]
+    if grams:
+        padded = [*(F.coalesce(c + 1, F.lit(0)) for c in codes), *[F.lit(0)] * (9 - len(codes))]
+        wide += [_joined(padded[i : i + 3], BITS).alias(name) for i, name in ((0, "a"), (3, "b"), (6, "c"))]
+    if words:
+        masks = [F.coalesce(F.get(words.masks, c), F.lit(0)) for c in codes] + [F.lit(0)] * (8 - len(codes))
+        step = F.pmod(F.lit(12) - F.get(words.roots, codes[0]), F.lit(12))
+        unread = F.lit(9) if words.readable else F.coalesce(*(F.when(c.isNotNull() & F.get(words.masks, c).isNull(), i + 1) for i, c in enumerate(codes)), F.lit(9))
+        wide += [_joined(masks[:5], 12).alias("u0"), _joined(masks[5:], 12).alias("v0"), step.alias("step"), unread.alias("unread")]
+    rows = rows.select("song_id", "pos", *wide)
+    if words:
+        rows = rows.select(*(c for c in rows.columns if c not in ("u0", "v0", "step")), turned(F.col("u0"), F.col("step")).alias("u"), turned(F.col("v0"), F.col("step")).alias("v"))
+    rows = rows.withColumn("n", F.explode(F.array(*map(F.lit, ns)))).where("n <= left AND n < unread" if whole and not words.readable else "n <= left")
+    out = [F.col(x).bitwiseAND(_kept(BITS, 3, at)).alias(x) for x, at in (("a", 0), ("b", 3), ("c", 6))] if grams else []
+    if words:
+        out += [F.when(F.col("n") < F.col("unread"), F.col(x).bitwiseAND(_kept(12, size, at))).alias(x) for x, size, at in (("u", 5, 0), ("v", 3, 5))]
+    return rows.select("song_id", "pos", "n", *out)
+
+
+def windows(songs: DataFrame, words: Words, ns) -> DataFrame:
+    """song_id, n, pos, ngram, hkey and error of every window of :func:`packed` songs, as text."""
+    codes = gram_codes()[: max(ns)]
+    text = F.concat_ws(" ", *(F.get(words.tokens, c) for c in codes))
+    error = F.lit(None).cast("string") if words.readable else F.coalesce(*map(words.error, codes))
+    rows = spread(songs, ns, words, grams=True)
+    return rows.select("song_id", "n", "pos", text.alias("ngram"), hex_key(F.col("n")).alias("hkey"), error.alias("error"))
 
 
 @table("win", duck=_duck_windows("tokens", NS), view=True)
 def win(store: Store) -> DataFrame:
-    """A view: the windows of all lengths are some tens of times the tokens, from which they are made again where needed."""
-    return windows(store.table("tokens"), NS)
+    """A view: the windows of all lengths are some tens of times the tokens, from which they are made again where needed, without a shuffle."""
+    return windows(store.table("packed_songs"), words_of(store), NS)
 
 
 @table("win_dirty", duck=_duck_windows("dirty_tokens", NS), view=True)
 def win_dirty(store: Store) -> DataFrame:
-    return windows(store.table("dirty_tokens"), NS)
+    rows = store.table("dirty_tokens")
+    return windows(packed(rows), Words(rows.select("token", "code", "root", "mask", "error").distinct()), NS)
+
+
+def classes_of(store: Store, chosen: DataFrame, ns=NS) -> DataFrame:
+    """song_id, pos and the columns of ``chosen`` (n, hkey, ...) for every window of a chosen class; they meet on packed keys."""
+    at = spread(store.table("packed_songs"), ns, words_of(store), whole=True)
+    return at.join(chosen.select("*", *class_of(F.col("hkey"))), ["n", "u", "v"]).drop("u", "v")
 
 
 def text_key(hkey, n):
@@ -119,18 +234,54 @@ def text_key(hkey, n):
 
 DUCK_KEY = "n || ':' || array_to_string(list_transform(range(12), lambda p: array_to_string(list_transform(range(n), lambda i: ((('0x' || substr(hkey, (3 * i + 1)::INTEGER, 3))::INTEGER >> p::INTEGER) & 1)::VARCHAR), '')), '')"
 
-table("exact", "SELECT n, ngram, min(hkey) AS hkey, count(*) AS cnt FROM win GROUP BY n, ngram")
 
 
-def pushforward(exact: DataFrame) -> DataFrame:
-    """Classes of an exact vocabulary in one aggregate: count, members and the most frequent member."""
-    best = F.min_by("ngram", F.struct((-F.col("cnt")).alias("c"), "ngram"))
-    return exact.where("hkey IS NOT NULL").groupBy("n", "hkey").agg(F.sum("cnt").alias("cnt"), F.count("*").alias("n_exact"), best.alias("example"))
+@table("grams")
+def grams(store: Store) -> DataFrame:
+    """Counts of packed n-grams."""
+    return spread(store.table("packed_songs"), NS, grams=True).groupBy("n", "a", "b", "c").agg(F.count("*").alias("cnt"))
+
+
+def read_grams(grams: DataFrame, words: Words, *columns, text: bool = True) -> DataFrame:
+    """``columns`` with the class (u, v) of packed n-grams (n, a, b, c) and their text; without ``text`` only those that can be read.
+    (A test for null classes instead would be pushed down with the whole of their arithmetic.)"""
+    names = [f"c{i}" for i in range(8)]
+    rows = grams.select(*columns, *(c.alias(name) for c, name in zip(gram_codes(), names, strict=False)))
+    # Each code is referred to twice, so that the optimiser keeps this projection apart and the generated methods small.
+    masks = [F.when(F.col(c) >= 0, F.get(words.masks, F.col(c))).otherwise(-1 if not words.readable else 0) for c in names]
+    step = F.pmod(F.lit(12) - F.get(words.roots, F.col("c0")), F.lit(12))
+    packed = rows.select(*columns, *([F.concat_ws(" ", *(F.get(words.tokens, F.col(c)) for c in names)).alias("ngram")] if text else []), *masks_of(masks, words, names), step.alias("step"))
+    packed = packed if text or words.readable else packed.where("ok")
+    return packed.select(*columns, *(["ngram"] if text else []), *(F.when(F.col("ok"), turned(F.col(x + "0"), F.col("step"))).alias(x) for x in "uv"))
+
+
+def masks_of(masks: list, words: Words, names: list[str]) -> list:
+    """Eight masks side by side in two integers, and whether all of them could be read."""
+    ok = F.lit(True)
+    if not words.readable:
+        for c in names:
+            ok = ok & ((F.col(c) < 0) | F.get(words.masks, F.col(c)).isNotNull())
+        masks = [F.greatest(m, F.lit(0)) for m in masks]
+    return [_joined(masks[:5], 12).alias("u0"), _joined(masks[5:], 12).alias("v0"), ok.alias("ok")]
+
+
+@table("exact", duck="SELECT n, ngram, min(hkey) AS hkey, count(*) AS cnt FROM win GROUP BY n, ngram")
+def exact(store: Store) -> DataFrame:
+    """Text is made after aggregation, from each distinct n-gram's codes."""
+    return read_grams(store.table("grams"), words_of(store), "n", "cnt").select("n", "ngram", hex_key(F.col("n")).alias("hkey"), "cnt")
 
 
 @table("harm", duck="SELECT n, hkey, sum(cnt)::BIGINT AS cnt, count(*) AS n_exact, first(ngram ORDER BY cnt DESC, ngram) AS example FROM exact WHERE hkey IS NOT NULL GROUP BY n, hkey")
 def harm(store: Store) -> DataFrame:
-    return pushforward(store.table("exact"))
+    """Classes of the exact vocabulary in one aggregate under packed keys: count, members and the most frequent member, whose text is made last.
+    Codes follow the tokens' text, so the least code wins a tie as the least text would."""
+    words = words_of(store)
+    keyed = read_grams(store.table("grams"), words, "n", "a", "b", "c", "cnt", text=False)
+    best = F.min_by(F.struct("a", "b", "c"), F.struct((-F.col("cnt")).alias("k"), "a", "b", "c"))
+    found = keyed.groupBy("n", "u", "v").agg(F.sum("cnt").alias("cnt"), F.count("*").alias("n_exact"), best.alias("best"))
+    found = found.select("n", "u", "v", "cnt", "n_exact", "best.*")
+    text = F.concat_ws(" ", *(F.get(words.tokens, c) for c in gram_codes()[:8]))
+    return found.select("n", hex_key(F.col("n")).alias("hkey"), "cnt", "n_exact", text.alias("example"))
 
 
 #: The names under which queries ask for all lengths.
@@ -142,12 +293,20 @@ table("supported", f"SELECT n, hkey, cnt, example FROM harm WHERE cnt >= {SUPPOR
 
 @table("terms", duck="SELECT w.song_id, w.n, w.hkey, count(*) AS cnt FROM win w JOIN supported h ON w.n = h.n AND w.hkey = h.hkey GROUP BY w.song_id, w.n, w.hkey")
 def terms(store: Store) -> DataFrame:
-    """Counted where the windows are made, by song, so that the join takes each class of a song once."""
-    counts = store.table("win").where("hkey IS NOT NULL").groupBy("song_id", "n", "hkey").agg(F.count("*").alias("cnt"))
-    return counts.join(store.table("supported").select("n", "hkey"), ["n", "hkey"]).select("song_id", "n", "hkey", "cnt")
+    """Counted by song under packed keys, so that the join with the supported classes takes each class of a song once."""
+    at = spread(store.table("packed_songs"), NS, words_of(store), whole=True)
+    counts = at.groupBy("song_id", "n", "u", "v").agg(F.count("*").alias("cnt"))
+    return counts.join(store.table("supported").select("n", "hkey", *class_of(F.col("hkey"))), ["n", "u", "v"]).select("song_id", "n", "hkey", "cnt")
+
+
+@table("song_windows", duck="SELECT song_id, n, count(*) AS total_windows FROM win GROUP BY song_id, n")
+def song_windows(store: Store) -> DataFrame:
+    """From the songs' sizes, nothing is counted."""
+    size = F.size("codes")
+    each = F.explode(F.array_compact(F.array(*(F.when(size >= n, F.struct(F.lit(n).alias("n"), (size - (n - 1)).cast("long").alias("total_windows"))) for n in NS))))
+    return store.table("packed_songs").select("song_id", each.alias("w")).select("song_id", "w.*")
 
 
-table("song_windows", "SELECT song_id, n, count(*) AS total_windows FROM win GROUP BY song_id, n")
 table(
     "totals",
     """SELECT s.song_id, s.n, s.total_windows, COALESCE(t.uniq, 0) AS uniq, COALESCE(t.indexed, 0) AS indexed, COALESCE(t.indexed, 0) / s.total_windows AS coverage

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessitura.operators.kernel import DUCK_ID, class_id
-from tessitura.operators.ngrams import NS
+from tessitura.operators.ngrams import NS, classes_of
+from tessitura.plans.ranking import placed
 from tessitura.plans.register import query
 from tessitura.plans.store import Store
 from tessitura.sources import songs as files
@@ -51,10 +52,10 @@ def sink_parquet(store: Store) -> DataFrame:
     return store.spark.read.parquet(path).select("id", "decade", F.year("release_date").alias("year"))
 
 
-@query("sink_csv_gz", duck="SELECT n, ngram, cnt FROM exact WHERE n = 3")
+@query("sink_csv_gz", duck="SELECT n, ngram, cnt FROM exact")
 def sink_csv_gz(store: Store) -> DataFrame:
     path = f"{store.folder}/exact_csv"
-    files.write_report_csv(store.table("exact").where("n = 3").select("n", "ngram", "cnt"), path, gzip=True)
+    files.write_report_csv(store.table("exact").select("n", "ngram", "cnt"), path, gzip=True)
     return store.spark.read.schema("n int, ngram string, cnt long").csv(path, header=True)
 
 
@@ -119,15 +120,15 @@ query("filter_in_list", "SELECT song_id, decade FROM songs WHERE decade IN (1950
 query("filter_in_subquery", "SELECT song_id, n, cnt FROM terms WHERE hkey IN (SELECT hkey FROM targets WHERE n = 3)")
 query("filter_null_tests", "SELECT song_id, rock_genre, track_id FROM songs WHERE rock_genre IS NOT NULL AND track_id IS NULL AND artist_id <> ''")
 query("filter_like_ci", "SELECT song_id, artist_id FROM songs WHERE lower(coalesce(artist_id, '')) LIKE '%c1%'")
-query("filter_regex_ci", "SELECT n, ngram, cnt FROM exact WHERE n = 3 AND ngram RLIKE '(?i)amin.*g7'", "SELECT n, ngram, cnt FROM exact WHERE n = 3 AND regexp_matches(ngram, '(?i)amin.*g7')")
+query("filter_regex_ci", "SELECT n, ngram, cnt FROM exact WHERE ngram RLIKE '(?i)amin.*g7'", "SELECT n, ngram, cnt FROM exact WHERE regexp_matches(ngram, '(?i)amin.*g7')")
 query("filter_or_null_safe", """SELECT c.song_id FROM songs c JOIN songs q ON q.song_id = 1 WHERE c.song_id <> q.song_id AND (c.track_id IS NULL OR q.track_id IS NULL OR c.track_id <> q.track_id)
     AND (c.artist_id IS NULL OR q.artist_id IS NULL OR c.artist_id <> q.artist_id) AND (c.main_genre IS NULL OR q.main_genre IS NULL OR c.main_genre <> q.main_genre)""")
 query("case_rank", "SELECT song_id, CASE WHEN track_id = 't1' THEN 0 WHEN track_id LIKE 't1%' THEN 1 ELSE 2 END AS place FROM songs ORDER BY place, song_id LIMIT 50")
 query("coalesce_nullif", "SELECT song_id, coalesce(rock_genre, main_genre) AS genre, nullif(track_id, 't1') AS track FROM songs")
 query("cast_try_cast", "SELECT song_id, CAST(song_id AS DOUBLE) AS d, TRY_CAST(substr(release_date, 1, 4) AS INT) AS y, TRY_CAST(artist_id AS INT) AS bad FROM songs")
 query("concat_op", "SELECT song_id, main_genre || ':' || CAST(decade AS STRING) AS document_id, rock_genre || '!' AS nullable FROM songs")
-query("math", "SELECT n, hkey, round(ln(cnt), 8) AS l, round(sqrt(cnt), 8) AS s, abs(cnt - 10) AS a, round(ln(1 + cnt), 8) AS l1, round(log2(cnt), 8) AS l2, round(exp(1 / cnt), 8) AS e, round(power(2, 1 / cnt), 8) AS p FROM harm WHERE n = 3")
-query("string_fns", "SELECT ngram, substr(ngram, 1, 3) AS head, lower(ngram) AS low, replace(ngram, 'min', 'm') AS short, length(ngram) AS chars FROM exact WHERE n = 3", "SELECT ngram, substr(ngram, 1, 3) AS head, lower(ngram) AS low, replace(ngram, 'min', 'm') AS short, length(ngram)::INTEGER AS chars FROM exact WHERE n = 3")
+query("math", "SELECT n, hkey, round(ln(cnt), 8) AS l, round(sqrt(cnt), 8) AS s, abs(cnt - 10) AS a, round(ln(1 + cnt), 8) AS l1, round(log2(cnt), 8) AS l2, round(exp(1 / cnt), 8) AS e, round(power(2, 1 / cnt), 8) AS p FROM harm")
+query("string_fns", "SELECT ngram, substr(ngram, 1, 3) AS head, lower(ngram) AS low, replace(ngram, 'min', 'm') AS short, length(ngram) AS chars FROM exact", "SELECT ngram, substr(ngram, 1, 3) AS head, lower(ngram) AS low, replace(ngram, 'min', 'm') AS short, length(ngram)::INTEGER AS chars FROM exact")
 
 
 @query("fillna_dropna", duck="SELECT song_id, rock_genre, coalesce(track_id, 'none') AS track_id FROM songs WHERE rock_genre IS NOT NULL")
@@ -146,7 +147,7 @@ query("join_self_rank", """WITH r AS (SELECT song_id, n, hkey, cnt, row_number()
     SELECT x.song_id, x.n, x.hkey AS most, y.hkey AS least FROM r x JOIN r y ON x.song_id = y.song_id AND x.n = y.n WHERE x.a = 1 AND y.b = 1""")
 query("join_self_feature", "SELECT c.song_id, round(sum(q.tfidf_log_count * c.tfidf_log_count), 5) AS dot, count(*) AS shared FROM tfidf q JOIN tfidf c ON q.n = c.n AND q.hkey = c.hkey WHERE q.song_id = 1 GROUP BY c.song_id")
 query("join_filtered_on", "SELECT q.n, q.hkey, c.cnt FROM terms q LEFT JOIN terms c ON c.song_id = 3 AND q.n = c.n AND q.hkey = c.hkey WHERE q.song_id = 1")
-query("join_cross_scalar", "SELECT h.n, h.hkey, round(h.cnt / t.total, 8) AS share FROM harm h CROSS JOIN (SELECT sum(cnt) AS total FROM harm) t WHERE h.n = 3")
+query("join_cross_scalar", "SELECT h.n, h.hkey, round(h.cnt / t.total, 8) AS share FROM harm h CROSS JOIN (SELECT sum(cnt) AS total FROM harm) t")
 query("join_anti", "SELECT q.n, q.hkey FROM terms q LEFT ANTI JOIN (SELECT n, hkey FROM terms WHERE song_id = 3) c ON q.n = c.n AND q.hkey = c.hkey WHERE q.song_id = 1", "SELECT q.n, q.hkey FROM terms q ANTI JOIN (SELECT n, hkey FROM terms WHERE song_id = 3) c ON q.n = c.n AND q.hkey = c.hkey WHERE q.song_id = 1")
 query("join_semi", "SELECT w.song_id, w.n, w.pos FROM win w LEFT SEMI JOIN targets t ON w.n = t.n AND w.hkey = t.hkey", "SELECT w.song_id, w.n, w.pos FROM win w SEMI JOIN targets t ON w.n = t.n AND w.hkey = t.hkey")
 query("join_null_check", "SELECT e.n, count(*) AS orphans FROM exact e LEFT JOIN supported h ON e.n = h.n AND e.hkey = h.hkey WHERE h.hkey IS NULL GROUP BY e.n")
@@ -159,7 +160,14 @@ def join_pandas_merge(store: Store) -> DataFrame:
     return left.join(right, ["n", "hkey"], "left")
 
 
-query("join_map_lookup", "SELECT w.song_id, w.pos, s.example FROM win w JOIN supported s ON w.n = s.n AND w.hkey = s.hkey WHERE w.n = 4")
+
+
+@query("join_map_lookup", duck="SELECT w.song_id, w.n, w.pos, s.example FROM win w JOIN supported s ON w.n = s.n AND w.hkey = s.hkey")
+def join_map_lookup(store: Store) -> DataFrame:
+    return classes_of(store, store.table("supported").select("n", "hkey", "example")).select("song_id", "n", "pos", "example")
+
+
+
 
 # --- aggregations ------------------------------------------------------------------------------------------------------------
 
@@ -175,9 +183,34 @@ def top_harmonic_classes(store: Store) -> DataFrame:
     return ranked.select("n", class_id().alias("harmonic_id"), "example", "cnt", "n_exact")
 
 
-query("agg_vocab_finalize", "SELECT n, ngram, cnt, round(cnt / sum(cnt) OVER (PARTITION BY n), 10) AS frequency FROM exact")
-query("agg_freq_table_exact", "SELECT n, ngram, cnt, round(cnt / sum(cnt) OVER (PARTITION BY n), 10) AS frequency, CAST(row_number() OVER (PARTITION BY n ORDER BY cnt DESC, ngram) AS BIGINT) AS place FROM exact WHERE n = 3")
-query("agg_freq_table_harmonic", "SELECT n, hkey, cnt, round(cnt / sum(cnt) OVER (PARTITION BY n), 10) AS frequency, CAST(row_number() OVER (PARTITION BY n ORDER BY cnt DESC, hkey) AS BIGINT) AS place FROM harm WHERE n = 3")
+_SHARE = "SELECT {cols}, round(cnt / sum(cnt) OVER (PARTITION BY n), 10) AS frequency{place} FROM {t}"
+_PLACE = ", CAST(row_number() OVER (PARTITION BY n ORDER BY cnt DESC, {key}) AS BIGINT) AS place"
+
+
+def _shares(store: Store, rows: DataFrame, t: str) -> DataFrame:
+    """Share of each row in its length's total: the totals are a row a length."""
+    totals = store.table(t).groupBy("n").agg(F.sum("cnt").alias("total"))
+    return rows.join(F.broadcast(totals), "n").withColumn("frequency", F.round(F.col("cnt") / F.col("total"), 10))
+
+
+def _frequency_table(store: Store, t: str, key: str) -> DataFrame:
+    ranked = placed(store.table(t).select("n", key, "cnt"), [F.desc("cnt"), F.asc(key)], ("n",))
+    return _shares(store, ranked, t).select("n", key, "cnt", "frequency", "place")
+
+
+@query("agg_vocab_finalize", duck=_SHARE.format(cols="n, ngram, cnt", place="", t="exact"))
+def agg_vocab_finalize(store: Store) -> DataFrame:
+    return _shares(store, store.table("exact"), "exact").select("n", "ngram", "cnt", "frequency")
+
+
+@query("agg_freq_table_exact", duck=_SHARE.format(cols="n, ngram, cnt", place=_PLACE.format(key="ngram"), t="exact"))
+def agg_freq_table_exact(store: Store) -> DataFrame:
+    return _frequency_table(store, "exact", "ngram")
+
+
+@query("agg_freq_table_harmonic", duck=_SHARE.format(cols="n, hkey, cnt", place=_PLACE.format(key="hkey"), t="harm"))
+def agg_freq_table_harmonic(store: Store) -> DataFrame:
+    return _frequency_table(store, "harm", "hkey")
 
 
 @query("agg_song_summary", duck="SELECT s.song_id, count(t.pos) AS n_chords, greatest(count(t.pos) - 2, 0) AS n_ngrams_3, greatest(count(t.pos) - 7, 0) AS n_ngrams_8 FROM songs s LEFT JOIN tokens t USING (song_id) GROUP BY s.song_id")
@@ -210,26 +243,36 @@ query("agg_concat_distinct", "SELECT song_id, array_join(array_sort(collect_set(
 
 # --- windows -----------------------------------------------------------------------------------------------------------------
 
-query("win_sum_partition", "SELECT n, hkey, round(cnt / sum(cnt) OVER (PARTITION BY n), 10) AS frequency FROM harm")
+@query("win_sum_partition", duck=_SHARE.format(cols="n, hkey", place="", t="harm"))
+def win_sum_partition(store: Store) -> DataFrame:
+    return _shares(store, store.table("harm"), "harm").select("n", "hkey", "frequency")
+
+
 query("win_row_number_qualify", "SELECT song_id, n, hkey, cnt FROM (SELECT *, row_number() OVER (PARTITION BY song_id, n ORDER BY cnt DESC, hkey) AS r FROM terms) x WHERE r <= 3", "SELECT song_id, n, hkey, cnt FROM terms QUALIFY row_number() OVER (PARTITION BY song_id, n ORDER BY cnt DESC, hkey) <= 3")
 query("win_first_last", "SELECT n, hkey, min_by(svalue, svalue) AS first_decade, max_by(cnt, svalue) AS last_count FROM trend_harmonic_counts WHERE stype = 'decade' GROUP BY n, hkey")
 query("win_dual_rank", "SELECT n, hkey, cnt FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY cnt DESC, hkey) AS hi, row_number() OVER (PARTITION BY n ORDER BY cnt, hkey) AS lo FROM targets) x WHERE hi <= 5 OR lo <= 5")
-query("win_rank_within_n", "SELECT n, hkey, cnt, CAST(row_number() OVER (PARTITION BY n ORDER BY cnt DESC, hkey) AS BIGINT) AS place FROM supported")
+
+
+@query("win_rank_within_n", duck="SELECT n, hkey, cnt, CAST(row_number() OVER (PARTITION BY n ORDER BY cnt DESC, hkey) AS BIGINT) AS place FROM supported")
+def win_rank_within_n(store: Store) -> DataFrame:
+    return placed(store.table("supported").select("n", "hkey", "cnt"), [F.desc("cnt"), F.asc("hkey")], ("n",))
 
 
 @query("win_dense_feature_id", duck="SELECT n, hkey, row_number() OVER (ORDER BY n, hkey) AS feature_id FROM supported")
 def win_dense_feature_id(store: Store) -> DataFrame:
-    """Dense ids in (n, hkey) order without a one-partition window: a count per length, then a rank inside it."""
-    classes = store.table("supported").select("n", "hkey")
-    sizes = classes.groupBy("n").count()
-    before = sizes.select("n", F.coalesce(F.sum("count").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ranked = classes.withColumn("r", F.row_number().over(Window.partitionBy("n").orderBy("hkey")))
-    return ranked.join(F.broadcast(before), "n").select("n", "hkey", (F.col("before") + F.col("r")).alias("feature_id"))
+    return placed(store.table("supported").select("n", "hkey"), [F.asc("n"), F.asc("hkey")], name="feature_id")
 
 
 query("win_nulls_last", "SELECT n, ngram, cnt FROM (SELECT n, ngram, cnt, row_number() OVER (PARTITION BY n ORDER BY nullif(cnt, 2) DESC NULLS LAST, ngram) AS r FROM exact) x WHERE r <= 20")
-query("win_pandas_rank", "SELECT song_id, n, CAST(row_number() OVER (PARTITION BY n ORDER BY coverage DESC, song_id) AS BIGINT) AS place FROM totals")
-query("win_lead_transition", "SELECT song_id, pos, hkey, lead(hkey) OVER (PARTITION BY song_id ORDER BY pos) AS following FROM win WHERE n = 3")
+
+
+@query("win_pandas_rank", duck="SELECT song_id, n, CAST(row_number() OVER (PARTITION BY n ORDER BY coverage DESC, song_id) AS BIGINT) AS place FROM totals")
+def win_pandas_rank(store: Store) -> DataFrame:
+    return placed(store.table("totals").select("song_id", "n", "coverage"), [F.desc("coverage"), F.asc("song_id")], ("n",)).drop("coverage")
+
+
+
+query("win_lead_transition", "SELECT song_id, n, pos, hkey, lead(hkey) OVER (PARTITION BY song_id, n ORDER BY pos) AS following FROM win")
 query("win_group_head", "SELECT main_genre, song_id FROM (SELECT main_genre, song_id, row_number() OVER (PARTITION BY main_genre ORDER BY song_id DESC) AS r FROM songs) x WHERE r <= 5")
 query("win_local_context", "SELECT song_id, pos, count(*) OVER (PARTITION BY song_id ORDER BY pos ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS around, CAST(sum(mask) OVER (PARTITION BY song_id ORDER BY pos ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS BIGINT) AS mass FROM tokens")
 query("win_cumulative", "SELECT n, hkey, round(sum(cnt) OVER (PARTITION BY n ORDER BY cnt DESC, hkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(cnt) OVER (PARTITION BY n), 8) AS cumulative FROM targets")
@@ -237,7 +280,7 @@ query("win_cumulative", "SELECT n, hkey, round(sum(cnt) OVER (PARTITION BY n ORD
 # --- sorts, limits, sets -----------------------------------------------------------------------------------------------------
 
 query("sort_multi", "SELECT n, hkey, cnt FROM harm ORDER BY cnt DESC, n, hkey LIMIT 40")
-query("topk_global", "SELECT ngram, cnt FROM exact WHERE n = 4 ORDER BY cnt DESC, ngram LIMIT 25")
+query("topk_global", "SELECT ngram, cnt FROM exact ORDER BY cnt DESC, ngram LIMIT 25")
 query("limit_offset", "SELECT song_id, artist_id FROM songs ORDER BY song_id LIMIT 20 OFFSET 30")
 query("sample_head_tail", "SELECT song_id FROM songs ORDER BY song_id DESC LIMIT 10")
 query("sample_per_class", "SELECT main_genre, song_id FROM (SELECT main_genre, song_id, row_number() OVER (PARTITION BY main_genre ORDER BY md5(CAST(song_id AS STRING)), song_id) AS r FROM songs) x WHERE r <= 30")

@@ -8,7 +8,11 @@ from __future__ import annotations
 import math
 import re
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from tessitura.operators.ngrams import NS
+from tessitura.plans.ranking import placed
 from tessitura.plans.register import query
 from tessitura.plans.store import table
 
@@ -185,4 +189,11 @@ query("song_detail", "SELECT s.song_id, s.artist_id, s.main_genre, s.decade, t.n
       "SELECT s.song_id, s.artist_id, s.main_genre, s.decade, t.n, t.total_windows, t.uniq, (SELECT string_agg(token, ' ' ORDER BY pos) || CASE WHEN (SELECT count(*) FROM tokens WHERE song_id = 5) > 24 THEN ' ...' ELSE '' END FROM tokens WHERE song_id = 5 AND pos < 24) AS excerpt FROM songs s JOIN totals t ON s.song_id = t.song_id WHERE s.song_id = 5")
 query("index_stats", "SELECT n, count(*) AS songs, CAST(sum(total_windows) AS BIGINT) AS windows, CAST(sum(uniq) AS BIGINT) AS features, round(sum(indexed) / sum(total_windows), 8) AS coverage, round(median(coverage), 8) AS median_coverage FROM totals GROUP BY n")
 query("enrich_batch", "SELECT track_id, CAST(sum(indexed_features) AS BIGINT) AS features FROM search_summary WHERE track_id IS NOT NULL GROUP BY track_id ORDER BY features DESC, track_id LIMIT 100")
-query("compact_index", "SELECT f.feature_id, t.song_id, CAST(t.n AS TINYINT) AS n, CAST(t.cnt AS INT) AS cnt, round(CAST(t.idf AS FLOAT), 4) AS idf FROM tfidf t JOIN (SELECT n, hkey, CAST(row_number() OVER (ORDER BY n, hkey) AS INT) AS feature_id FROM dfs) f ON t.n = f.n AND t.hkey = f.hkey", "SELECT f.feature_id, t.song_id, t.n::TINYINT AS n, t.cnt::INTEGER AS cnt, round(t.idf::FLOAT, 4) AS idf FROM tfidf t JOIN (SELECT n, hkey, row_number() OVER (ORDER BY n, hkey)::INTEGER AS feature_id FROM dfs) f ON t.n = f.n AND t.hkey = f.hkey")
+
+
+@query("compact_index", duck="SELECT f.feature_id, t.song_id, t.n::TINYINT AS n, t.cnt::INTEGER AS cnt, round(t.idf::FLOAT, 4) AS idf FROM tfidf t JOIN (SELECT n, hkey, row_number() OVER (ORDER BY n, hkey)::INTEGER AS feature_id FROM dfs) f ON t.n = f.n AND t.hkey = f.hkey")
+def compact_index(store) -> DataFrame:
+    """Postings under dense feature ids in small types; ids come from a distributed rank."""
+    ids = placed(store.table("dfs").select("n", "hkey"), [F.asc("n"), F.asc("hkey")], name="feature_id")
+    rows = store.table("tfidf").join(ids, ["n", "hkey"])
+    return rows.select(F.col("feature_id").cast("int").alias("feature_id"), "song_id", F.col("n").cast("tinyint").alias("n"), F.col("cnt").cast("int").alias("cnt"), F.round(F.col("idf").cast("float"), 4).alias("idf"))

@@ -98,14 +98,20 @@ table("enriched", f"""WITH v AS (SELECT document_type, n, count(DISTINCT hkey) A
 query("enrichment", "SELECT document_id, n, hkey, cnt, round(log2_lift, 6) AS log2_lift FROM enriched")
 query("enrichment_top", f"SELECT document_id, n, hkey, log2_lift, CAST(r AS BIGINT) AS place FROM (SELECT document_id, n, hkey, round(log2_lift, 6) AS log2_lift, row_number() OVER (PARTITION BY document_id, n ORDER BY round(log2_lift, 6) DESC, hkey) AS r FROM enriched) x WHERE r <= {TOP_K}")
 
+#: From counts of counts: classes of equal count share their ranks, so no group's classes are sorted, and the ten largest merge.
+_COUNTED = """SELECT {g}, total, uniq, round(ln(total) - w / total, 6) AS entropy, round(CASE WHEN uniq > 1 THEN (ln(total) - w / total) / ln(uniq) ELSE 0.0 END, 6) AS normalized_entropy,
+        round(exp(ln(total) - w / total), 4) AS effective_vocabulary, round(2 * ranked / (uniq * total) - (uniq + 1) / uniq, 6) AS gini, round(top / total, 6) AS top10_share
+    FROM (SELECT {g}, sum(f * cnt) AS total, sum(f) AS uniq, sum(f * (cnt * ln(cnt))) AS w, sum(cnt * (f * coalesce(below, 0) + (f * (f + 1)) div 2)) AS ranked, sum(cnt * least(f, greatest(10 - coalesce(above, 0), 0))) AS top
+        FROM (SELECT {g}, cnt, f, sum(f) OVER (PARTITION BY {g} ORDER BY cnt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below, sum(f) OVER (PARTITION BY {g} ORDER BY cnt DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above
+            FROM (SELECT {g}, cnt, count(*) AS f FROM {t} GROUP BY {g}, cnt) a) b GROUP BY {g}) c"""
 _DIVERSITY = """SELECT {g}, CAST(max(total) AS BIGINT) AS total, count(*) AS uniq, round(ln(max(total)) - sum(cnt * ln(cnt)) / max(total), 6) AS entropy,
         round(CASE WHEN count(*) > 1 THEN (ln(max(total)) - sum(cnt * ln(cnt)) / max(total)) / ln(count(*)) ELSE 0.0 END, 6) AS normalized_entropy,
         round(exp(ln(max(total)) - sum(cnt * ln(cnt)) / max(total)), 4) AS effective_vocabulary,
         round(2 * sum(up * cnt) / (count(*) * max(total)) - (count(*) + 1) / count(*), 6) AS gini, round(sum(CASE WHEN down <= 10 THEN cnt ELSE 0 END) / max(total), 6) AS top10_share
     FROM (SELECT {g}, cnt, sum(cnt) OVER (PARTITION BY {g}) AS total, row_number() OVER (PARTITION BY {g} ORDER BY cnt, hkey) AS up, row_number() OVER (PARTITION BY {g} ORDER BY cnt DESC, hkey) AS down FROM {t}) x GROUP BY {g}"""
-table("decade_diversity_t", _DIVERSITY.format(g="document_value, n", t="(SELECT * FROM docterms WHERE document_type = 'decade_1950_plus') d"))
-table("genre_diversity_t", _DIVERSITY.format(g="document_value, n", t="(SELECT * FROM docterms WHERE document_type = 'main_genre') d"))
-query("agg_diversity_summary", _DIVERSITY.format(g="document_id, n", t="docterms"))
+table("decade_diversity_t", _COUNTED.format(g="document_value, n", t="(SELECT * FROM docterms WHERE document_type = 'decade_1950_plus') d"), _DIVERSITY.format(g="document_value, n", t="(SELECT * FROM docterms WHERE document_type = 'decade_1950_plus') d"))
+table("genre_diversity_t", _COUNTED.format(g="document_value, n", t="(SELECT * FROM docterms WHERE document_type = 'main_genre') d"), _DIVERSITY.format(g="document_value, n", t="(SELECT * FROM docterms WHERE document_type = 'main_genre') d"))
+query("agg_diversity_summary", _COUNTED.format(g="document_id, n", t="docterms"), _DIVERSITY.format(g="document_id, n", t="docterms"))
 query("decade_diversity", "SELECT * FROM decade_diversity_t")
 query("decade_diversity_slopes", "SELECT n, round(regr_slope(entropy, CAST(document_value AS INT)), 8) AS entropy_slope, round(regr_slope(gini, CAST(document_value AS INT)), 8) AS gini_slope FROM decade_diversity_t GROUP BY n")
 query("genre_diversity_ranked", "SELECT document_value, n, entropy, top10_share, CAST(row_number() OVER (PARTITION BY n ORDER BY entropy DESC, document_value) AS BIGINT) AS entropy_rank, CAST(row_number() OVER (PARTITION BY n ORDER BY top10_share DESC, document_value) AS BIGINT) AS concentration_rank FROM genre_diversity_t")
@@ -116,13 +122,13 @@ query("agg_ols_slope", "SELECT n, hkey, round(regr_slope(frequency, CAST(svalue
 query("song_length_by_decade", """SELECT decade, count(*) AS songs, round(avg(c), 6) AS mean, median(c) AS median, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY c), 6) AS p90 FROM (SELECT s.decade, count(t.pos) AS c FROM songs s LEFT JOIN tokens t ON s.song_id = t.song_id GROUP BY s.song_id, s.decade) x GROUP BY decade""")
 query("agg_quantile", """SELECT main_genre, median(c) AS median, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY c), 6) AS p90, min(c) AS least, max(c) AS most FROM (SELECT s.main_genre, count(*) AS c FROM songs s JOIN tokens t ON s.song_id = t.song_id GROUP BY s.song_id, s.main_genre) x GROUP BY main_genre""")
 table("decade_vectors", "SELECT CAST(document_value AS INT) AS decade, n, hkey, frequency FROM docterms WHERE document_type = 'decade_1950_plus'", view=True)
-query("decade_vector_distance", """SELECT decade, n, round(sum(abs(d)), 8) AS l1, round(sqrt(sum(d * d)), 8) AS l2, round(1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))), 8) AS cosine
+query("decade_vector_distance", """SELECT decade, n, round(sum(abs(d)), 8) AS l1, round(sqrt(sum(d * d)), 8) AS l2, round(greatest(1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))), 0.0), 8) AS cosine
     FROM (SELECT coalesce(x.decade, y.decade - 10) AS decade, coalesce(x.n, y.n) AS n, coalesce(x.frequency, 0) AS a, coalesce(y.frequency, 0) AS b, coalesce(y.frequency, 0) - coalesce(x.frequency, 0) AS d
         FROM decade_vectors x FULL OUTER JOIN decade_vectors y ON x.decade = y.decade - 10 AND x.n = y.n AND x.hkey = y.hkey) z WHERE decade BETWEEN 1950 AND 2010 GROUP BY decade, n""")
-query("join_outer_vector_diff", """SELECT coalesce(x.hkey, y.hkey) AS hkey, round(coalesce(y.frequency, 0) - coalesce(x.frequency, 0), 8) AS d FROM (SELECT * FROM decade_vectors WHERE decade = 1950 AND n = 3) x FULL OUTER JOIN (SELECT * FROM decade_vectors WHERE decade = 1960 AND n = 3) y ON x.hkey = y.hkey""")
+query("join_outer_vector_diff", """SELECT coalesce(x.n, y.n) AS n, coalesce(x.hkey, y.hkey) AS hkey, round(coalesce(y.frequency, 0) - coalesce(x.frequency, 0), 8) AS d FROM (SELECT * FROM decade_vectors WHERE decade = 1950) x FULL OUTER JOIN (SELECT * FROM decade_vectors WHERE decade = 1960) y ON x.n = y.n AND x.hkey = y.hkey""")
 table("top_artists", "SELECT artist_id, songs FROM (SELECT artist_id, songs, row_number() OVER (ORDER BY songs DESC, artist_id) AS r FROM (SELECT artist_id, count(*) AS songs FROM songs WHERE artist_id IS NOT NULL GROUP BY artist_id HAVING count(*) >= 5) a) x WHERE r <= 250")
-query("agg_artist_profile", "SELECT s.artist_id, t.n, t.hkey, CAST(sum(t.cnt) AS BIGINT) AS cnt, max(a.songs) AS songs FROM terms t JOIN songs s ON t.song_id = s.song_id JOIN top_artists a ON s.artist_id = a.artist_id WHERE t.n = 3 GROUP BY s.artist_id, t.n, t.hkey")
-query("artist_diversity", _DIVERSITY.format(g="artist_id, n", t="(SELECT s.artist_id, t.n, t.hkey, CAST(sum(t.cnt) AS BIGINT) AS cnt FROM terms t JOIN songs s ON t.song_id = s.song_id JOIN top_artists a ON s.artist_id = a.artist_id GROUP BY s.artist_id, t.n, t.hkey) p"))
+query("agg_artist_profile", "SELECT s.artist_id, t.n, t.hkey, CAST(sum(t.cnt) AS BIGINT) AS cnt, max(a.songs) AS songs FROM terms t JOIN songs s ON t.song_id = s.song_id JOIN top_artists a ON s.artist_id = a.artist_id GROUP BY s.artist_id, t.n, t.hkey")
+query("artist_diversity", _COUNTED.format(g="artist_id, n", t="(SELECT s.artist_id, t.n, t.hkey, CAST(sum(t.cnt) AS BIGINT) AS cnt FROM terms t JOIN songs s ON t.song_id = s.song_id JOIN top_artists a ON s.artist_id = a.artist_id GROUP BY s.artist_id, t.n, t.hkey) p"), _DIVERSITY.format(g="artist_id, n", t="(SELECT s.artist_id, t.n, t.hkey, CAST(sum(t.cnt) AS BIGINT) AS cnt FROM terms t JOIN songs s ON t.song_id = s.song_id JOIN top_artists a ON s.artist_id = a.artist_id GROUP BY s.artist_id, t.n, t.hkey) p"))
 query("report_takeaways", """SELECT n, 'rise' AS kind, hkey, delta AS value FROM (SELECT n, hkey, delta, row_number() OVER (PARTITION BY n ORDER BY delta DESC, hkey) AS k FROM ranked_shifts) x WHERE k = 1
     UNION ALL SELECT n, 'decline', hkey, delta FROM (SELECT n, hkey, delta, row_number() OVER (PARTITION BY n ORDER BY delta, hkey) AS k FROM ranked_shifts) x WHERE k = 1""")
 query("agg_stratification_audit", """SELECT kind, groups, songs, smallest, round(mean, 6) AS mean, largest, round(singles / groups, 6) AS singleton_rate, round(exp(ln(songs) - w / songs), 4) AS effective_groups FROM (SELECT kind, count(*) AS groups, CAST(sum(c) AS BIGINT) AS songs, min(c) AS smallest, avg(c) AS mean, max(c) AS largest,
@@ -139,7 +145,7 @@ def labelled(store: Store) -> DataFrame:
 
 _NS = "array_join(array_sort(collect_set({n})), ',')", "string_agg(DISTINCT {n}::VARCHAR, ',' ORDER BY {n}::VARCHAR)"
 _BEST = "max_by({x}, struct({by}, {x}))", "first({x} ORDER BY {by} DESC, {x} DESC)"
-_DECADE = "SELECT family, direction, classes, ns, total, best FROM (SELECT l.family, CASE WHEN s.delta > 0 THEN 'rise' ELSE 'decline' END AS direction, count(*) AS classes, {ns} AS ns, round(sum(abs(s.delta)), 7) AS total, {best} AS best FROM ranked_shifts s JOIN labelled l ON s.n = l.n AND s.hkey = l.hkey GROUP BY l.family, CASE WHEN s.delta > 0 THEN 'rise' ELSE 'decline' END) x"
+_DECADE = "SELECT family, direction, classes, ns, total, best FROM (SELECT l.family, CASE WHEN s.delta > 0 THEN 'rise' ELSE 'decline' END AS direction, count(*) AS classes, {ns} AS ns, CAST(sum(CAST(round(abs(s.delta) * 100000000) AS BIGINT)) AS DOUBLE) / 100000000 AS total, {best} AS best FROM ranked_shifts s JOIN labelled l ON s.n = l.n AND s.hkey = l.hkey GROUP BY l.family, CASE WHEN s.delta > 0 THEN 'rise' ELSE 'decline' END) x"
 _GENRE = "SELECT l.genre, f.family, count(*) AS classes, {ns} AS ns, round(max(l.lift), 6) AS best_lift, CAST(sum(l.cnt) AS BIGINT) AS support, {best} AS best FROM lifts l JOIN labelled f ON l.n = f.n AND l.hkey = f.hkey WHERE l.lift >= 1 GROUP BY l.genre, f.family"
 table_sql = [_DECADE.format(ns=_NS[k].format(n="s.n"), best=_BEST[k].format(x="s.hkey", by="abs(s.delta)")) for k in (0, 1)]
 genre_sql = [_GENRE.format(ns=_NS[k].format(n="l.n"), best=_BEST[k].format(x="l.hkey", by="round(l.lift, 9)")) for k in (0, 1)]

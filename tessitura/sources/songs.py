@@ -97,8 +97,8 @@ def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), ap
 
 
 def write_report_csv(df: DataFrame, path: str, gzip: bool = False) -> None:
-    """A small report as one CSV file."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True, compression="gzip" if gzip else "none")
+    """A report as CSV files, one for each partition of ``df``, each with a header."""
+    df.write.mode("overwrite").csv(path, header=True, compression="gzip" if gzip else "none")
 
 
 def upsert(current: DataFrame, fresh: DataFrame, key: str, version: str) -> DataFrame:

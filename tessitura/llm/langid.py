@@ -16,6 +16,7 @@ empty result. Extra columns are not read.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -34,10 +35,10 @@ _TABLE: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
-    """For each code point below 0x20000 its lower-case letter, or a space."""
+    """For each code point its lower-case letter, or a space."""
     if not _TABLE:
-        table = np.full(0x20000, 32, np.uint32)
-        for c in range(0x20000):
+        table = np.full(sys.maxunicode + 1, 32, np.uint32)
+        for c in range(len(table)):
             if (x := chr(c)).isalpha():
                 low = x.lower()
                 table[c] = ord(low) if len(low) == 1 else c
@@ -49,7 +50,7 @@ def features(text: str, dim: int = DIM) -> np.ndarray:
     """The hashed n-grams of a text, with repetitions; empty if it has no letter."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     table = _letters()
-    points = table[np.minimum(points, len(table) - 1)] if len(points) and points.max() >= len(table) else table[points]
+    points = table[points]
     letter = points != 32
     if not letter.any():
         return np.empty(0, np.int64)

@@ -81,21 +81,21 @@ def fingerprint(hashes: np.ndarray) -> bytes:
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """d, n and, null without shingles, node, posted (POST coordinates of four bytes) and sig (K of one byte) of every row."""
+    """d, h, n and, null without shingles, node, posted (POST coordinates of four bytes) and sig (K of one byte) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.sliced(batches, "t"):
             ns, nodes, posted, sigs = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingles(text)
                 sig = signature(s) if len(s) else None
                 ns.append(len(s))
                 nodes.append(fingerprint(s) if len(s) else None)
                 posted.append(sig[:POST].tobytes() if len(s) else None)
                 sigs.append(sig.astype("u1").tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), *(pa.array(x, pa.binary()) for x in (nodes, posted, sigs))], names=["d", "n", "node", "posted", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), *(pa.array(x, pa.binary()) for x in (nodes, posted, sigs))], names=["d", "h", "n", "node", "posted", "sig"])
 
-    return docs.mapInArrow(run, "d long, n long, node binary, posted binary, sig binary")
+    return docs.mapInArrow(run, "d long, h long, n long, node binary, posted binary, sig binary")
 
 
 def _posts(nodes: DataFrame) -> DataFrame:
@@ -242,18 +242,19 @@ def _within(families: DataFrame) -> DataFrame:
 
 
 def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and body (its sorted 64-bit shingle hashes) of the wanted nodes (node, d), from a second reading of the texts."""
+    """node and body (its sorted 64-bit shingle hashes) of the wanted nodes (node, h), from a second reading of the texts. They meet on ``h``, which only
+    equal rows share, so that neither null nor repeated ids multiply."""
     wanted = shared.staged(wanted, "candidates")
-    texts = docs.withColumnRenamed("d", "d2")
+    texts = docs.select("t", F.col("h").alias("h2"))
     # The size is checked; without the hint Spark joins by a shuffle.
-    found = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted, F.col("d").eqNullSafe(F.col("d2")))
+    found = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted, F.col("h") == F.col("h2"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.sliced(batches, "t"):
             nodes, bodies = [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingles(text)
-                if len(s) and fingerprint(s) == node:  # else another row with the same id
+                if len(s) and fingerprint(s) == node:  # else another row with the same hash
                     nodes.append(node)
                     bodies.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(bodies, pa.binary())], names=["node", "body"])
@@ -292,22 +293,33 @@ def _undecided(candidates: DataFrame, roots: DataFrame, bodies: DataFrame) -> Da
     return rows.join(bodies, "node")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id that links reach) and kept of every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
+def _grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (d, h, t): their descriptions (d, h, n, node), and node with the root of its component and its smallest d."""
     described = shared.staged(_described(rows), "signatures")
-    nodes = described.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("d").alias("d"), F.first("n").alias("n"), F.first("posted").alias("posted"), F.first("sig").alias("sig"))
+    firsts = [F.first(c).alias(c) for c in ("n", "posted", "sig")]
+    nodes = described.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("d").alias("d"), F.min("h").alias("h"), *firsts)
     nodes = shared.staged(nodes, "nodes")
     lists = shared.staged(_listed(nodes), "lists")
     candidates = shared.staged(_strongest(lists), "pairs")
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    bodies = _bodies(rows, wanted.join(nodes.select("node", "d"), "node"))
+    bodies = _bodies(rows, wanted.join(nodes.select("node", "h"), "node"))
     links = shared.staged(_verified(candidates, bodies), "verified")
     roots = components.components(links, "a", "b")
     more = shared.staged(_within(_undecided(candidates, roots, bodies)), "verified")
     if not more.isEmpty():
         roots = components.components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "a", "b")
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "root", "d")
+    return described.select("d", "h", "n", "node"), named
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    return rows.select("d", F.xxhash64("d", F.lit(0), "t").alias("h"), "t")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id that links reach) and kept of every row."""
+    described, named = _grouped(_rows(docs, id_col, text_col))
     smallest = named.groupBy("root").agg(F.min("d").alias("component_id"))
     named = named.join(smallest, "root").select("node", "component_id")
     out = described.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), "node").join(named, "node", "left")
@@ -316,9 +328,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, without all but one of each group of near duplicates; a repeated row stays once."""
-    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`")))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"), F.col(f"`{text_col}`").alias("t"))
-    found = near_duplicates(rows, "key", "t").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    rows = rows.join(found.where("kept").select(F.col("doc_id").alias("key"), "n"), "key")
-    return rows.where("n = 1").select("row.*").union(rows.where("n > 1").dropDuplicates(["key", "t"]).select("row.*"))
+    """The rows of ``docs``, all columns, without all but one of each group of near duplicates: the one with the smallest id (null last),
+    then the smallest hash of id and text. Rows are told apart by id and text, so repeated ids with other texts are rows of their own, and a
+    row repeated whole stays once."""
+    described, named = _grouped(_rows(docs, id_col, text_col))
+    first = F.min(F.struct(F.col("d").isNull().alias("null"), "d", "h"))
+    grouped = described.where(F.col("node").isNotNull()).join(named.select("node", "root"), "node").groupBy("root").agg(first.alias("f")).select(F.col("f.h").alias("h"))
+    alone = described.where(F.col("node").isNull()).select("h").distinct()
+    copies = described.groupBy("h").agg(F.count("*").alias("n"))
+    chosen = shared.staged(grouped.union(alone).join(copies, "h"), "chosen")
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.lit(0), text).alias("h")).join(chosen, "h")
+    once = rows.where("n > 1").groupBy("h").agg(F.first("row").alias("row"))
+    return rows.where("n = 1").select("row.*").union(once.select("row.*"))

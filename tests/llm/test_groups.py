@@ -92,6 +92,21 @@ def test_minhash_cases(docs, empty):
     assert len(texts) == len(set(texts)) == len({t for _, t, _ in CASES if t and t.strip()})
 
 
+def test_one_of_each_tells_rows_by_id_and_text(spark):
+    a, b = "one two three four five six seven eight", "alpha beta gamma delta epsilon zeta eta theta"
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b), (3, b), (None, a), (None, ""), (None, "")], "doc_id long, text string")
+    rows = {tuple(r) for r in minhash.one_of_each(docs).collect()}
+    assert rows == {(1, a), (2, b), (None, "")} and minhash.one_of_each(docs).count() == 3
+
+
+def test_many_rows_without_an_id(spark):
+    """Null ids are no key: the work is linear in the rows."""
+    docs = spark.range(20_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat_ws(' ', 'w', id % 10000, id % 10000 + 1, 'x', id % 10000, 'y') AS text")
+    rows = minhash.near_duplicates(docs)
+    assert rows.count() == 20_000 and rows.where("NOT kept OR component_id IS NOT NULL").isEmpty()
+    assert minhash.one_of_each(docs).count() == 10_000
+
+
 def test_components_of_chains(spark):
     r = np.random.default_rng(1)
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 140)] + [(int(a), int(b)) for a, b in r.integers(200, 260, (40, 2))] + [(5, 5)]

@@ -48,6 +48,12 @@ def test_language_cases(docs, empty):
     assert langid.predict(empty, model).isEmpty()
 
 
+def test_language_of_letters_beyond_the_first_planes(spark):
+    docs = spark.createDataFrame([(1, chr(0x20000) * 5 + chr(0x2A6D0), "zh"), (2, "plain words here", "en"), (3, chr(0x1F600), "en"), (4, chr(0x30000) + chr(0x10FFFF), "zh")], "doc_id long, text string, lang string")
+    rows = {r.doc_id: r for r in langid.predict(docs, langid.train(docs)).collect()}
+    assert (rows[1].lang_pred, rows[2].lang_pred, rows[3].lang_pred, rows[4].lang_pred) == ("zh", "en", "und", "zh")
+
+
 def brute_quality(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]

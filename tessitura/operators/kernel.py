@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.functions import chords as c
+from tessitura.functions import pages
 from tessitura.operators.ngrams import DUCK_KEY, MASKS, NS, ROOTS, read_grams, text_key, words_of
 from tessitura.plans.register import query
 from tessitura.plans.store import Store
@@ -258,7 +259,13 @@ def parse_track_id(store: Store) -> DataFrame:
     return store.table("pages").select("page_id", F.regexp_extract(text, "([A-Za-z0-9]{22})(?:[?/]|$)", 1).alias("track"))
 
 
-@query("html_meta", duck="SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<meta charset=\"([^\"]*)\"', 1) AS charset FROM pages")
+@query(
+    "html_meta",
+    duck="""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, nullif(regexp_extract(html, '<meta charset="([^"]*)"', 1), '') AS charset,
+    nullif(trim(regexp_extract(html, '<meta name="description" content="([^"]*)"', 1)), '') AS description, nullif(trim(regexp_extract(html, '<meta name="viewport" content="([^"]*)"', 1)), '') AS viewport FROM pages""",
+)
 def html_meta(store: Store) -> DataFrame:
     """Title and meta attributes of pages."""
-    return store.table("pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", '<meta charset="([^"]*)"', 1).alias("charset"))
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title")
+    charset = F.get(F.array_compact(F.transform(pages.meta_tags("html"), lambda t: pages.attribute(t, "charset"))), F.lit(0)).alias("charset")
+    return store.table("pages").select("page_id", title, charset, *(pages.html_meta("html", "name", x).alias(x) for x in ("description", "viewport")))

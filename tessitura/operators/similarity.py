@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 from tessitura.operators.ngrams import NS
 from tessitura.plans.ranking import placed
 from tessitura.plans.register import query
-from tessitura.plans.store import table
+from tessitura.plans.store import Store, table
 
 WEIGHTS = {"tfidf_log_count": "nl", "tfidf_frequency": "nf"}
-#: Weight presets of the interface: alpha by length.
-PRESETS = {"balanced": {n: n / 3 for n in range(3, 9)}, "rare": {n: (n / 3) ** 2 for n in range(3, 9)}, "long": {n: float(n >= 6) for n in range(3, 9)}}
+#: The weight presets of the interface, for the lengths that each makes active.
+PRESETS = {
+    "balanced": {3: 1.0, 4: 1.33, 5: 1.67, 6: 2.0, 7: 2.33, 8: 2.67},
+    "rare": {3: 0.4, 4: 0.7, 5: 1.2, 6: 2.0, 7: 3.2, 8: 4.0},
+    "long": {6: 1.8, 7: 2.8, 8: 3.8},
+}
 
 
 class ParameterError(ValueError):
@@ -88,69 +92,151 @@ def _excluding(same_artist: bool, cross_genre: bool) -> str:
     return " AND ".join([differ("track_id"), *([differ("artist_id")] if same_artist else []), *([differ("main_genre")] if cross_genre else [])])
 
 
+#: Rows of the index in a folder of a layout, and the fewest and most folders.
+FOLDER_ROWS, FEWEST, MOST = 1_000_000, 64, 1 << 16
+#: A folder's rows are written by so many tasks, split by song, since a hot class may be in a third of all songs.
+SPLITS = 8
+
+
+def _folders(rows: int) -> int:
+    return min(MOST, max(FEWEST, rows // FOLDER_ROWS))
+
+
+@table("index_layout")
+def index_layout(store: Store) -> DataFrame:
+    """One row: into how many folders each layout of the index is cut."""
+    return store.spark.createDataFrame([(_folders(store.table("tfidf").count()),)], "folders int")
+
+
+def _clustered(store: Store, name: str, by: str, order: list[str]) -> DataFrame:
+    n = store.table("index_layout").first()["folders"]
+    rows = store.table("tfidf").withColumn("fb", F.pmod(F.xxhash64("n", "hkey"), F.lit(n)).cast("int")).withColumn("sb", F.pmod("song_id", F.lit(n)).cast("int"))
+    path = f"{store.folder}/{name}"
+    dealt = rows.repartition(F.col(by), F.pmod(F.xxhash64("song_id"), F.lit(SPLITS))).sortWithinPartitions(by, *order)
+    dealt.write.mode("overwrite").partitionBy(by).parquet(path)
+    return store.spark.read.schema(rows.select(*(c for c in rows.columns if c != by), by).schema).parquet(path)
+
+
+@table("tfidf_by_song", view=True)
+def tfidf_by_song(store: Store) -> DataFrame:
+    """The index in folders of songs, sorted by song: one song's features are a few row groups of one folder."""
+    return _clustered(store, "tfidf_by_song", "sb", ["song_id", "n", "hkey"])
+
+
+@table("tfidf_by_feature", view=True)
+def tfidf_by_feature(store: Store) -> DataFrame:
+    """The index in folders of classes, sorted by class: a request reads the folders of its song's classes alone."""
+    return _clustered(store, "tfidf_by_feature", "fb", ["n", "hkey", "song_id"])
+
+
+class _Spark:
+    """How a request reaches the clustered index. The broadcast side is the features of one song, or a pool of bounded size; Spark prunes the
+    folders of the other side by it."""
+
+    hint = "/*+ BROADCAST(q) */ "
+    pool = "/*+ BROADCAST(p) */ "
+    features = "f.fb, "
+    passed = "fb, "
+
+    @staticmethod
+    def song(song_id: int) -> str:
+        return f"(SELECT * FROM tfidf_by_song WHERE sb = (SELECT CAST(pmod({song_id}, folders) AS INT) FROM index_layout) AND song_id = {song_id})"
+
+    @staticmethod
+    def postings(q: str) -> str:
+        return f"tfidf_by_feature t ON t.fb = {q}.fb AND t.n = {q}.n AND t.hkey = {q}.hkey"
+
+    @staticmethod
+    def of_songs(p: str) -> str:
+        return f"(SELECT {p}0.*, CAST(pmod({p}0.song_id, folders) AS INT) AS sb FROM ({{rows}}) {p}0 CROSS JOIN index_layout) {p} JOIN tfidf_by_song t ON t.sb = {p}.sb AND t.song_id = {p}.song_id"
+
+
+class _Duck:
+    """The same over the plain index, for the oracle."""
+
+    hint = pool = features = passed = ""
+
+    @staticmethod
+    def song(song_id: int) -> str:
+        return f"(SELECT * FROM tfidf WHERE song_id = {song_id})"
+
+    @staticmethod
+    def postings(q: str) -> str:
+        return f"tfidf t ON t.n = {q}.n AND t.hkey = {q}.hkey"
+
+    @staticmethod
+    def of_songs(p: str) -> str:
+        return f"({{rows}}) {p} JOIN tfidf t ON t.song_id = {p}.song_id"
+
+
 def _scored(dots: str, song_id: int, weights: dict[int, float], norm: str, filters: str, limit: int) -> str:
-    """Rank dots(song_id, dot, shared) by cosine, one row per track. Norms are summed for the songs at hand only. Songs without a feature of
-    a length that has weight come last, without a cosine."""
+    """Rank dots(song_id, dot, shared) by cosine, one row per track. Norms are summed after the candidates are known, for these alone. Songs
+    without a feature of a length that has weight come last, without a cosine."""
     alpha = _alpha(weights)
-    return f"""SELECT song_id, similarity, shared FROM (SELECT d.song_id, c.track_id, round(d.dot / nullif(sqrt(x.v) * sqrt(y.v), 0), 6) AS similarity, d.shared,
-        row_number() OVER (PARTITION BY coalesce('s:' || c.track_id, 'l:' || CAST(d.song_id AS STRING)) ORDER BY round(d.dot / nullif(sqrt(x.v) * sqrt(y.v), 0), 6) DESC, d.shared DESC, d.song_id) AS copy
-        FROM ({dots}) d JOIN (SELECT m.song_id, sum(m.{norm} * w.alpha * w.alpha) AS v FROM norms m JOIN {alpha} w ON m.n = w.n GROUP BY m.song_id) x ON d.song_id = x.song_id
+    return f"""SELECT song_id, similarity, shared FROM (SELECT d.song_id, c.track_id, round(d.dot / nullif(sqrt(d.v) * sqrt(y.v), 0), 6) AS similarity, d.shared,
+        row_number() OVER (PARTITION BY coalesce('s:' || c.track_id, 'l:' || CAST(d.song_id AS STRING)) ORDER BY round(d.dot / nullif(sqrt(d.v) * sqrt(y.v), 0), 6) DESC, d.shared DESC, d.song_id) AS copy
+        FROM (SELECT k.song_id, k.dot, k.shared, sum(m.{norm} * w.alpha * w.alpha) AS v FROM ({dots}) k JOIN norms m ON m.song_id = k.song_id JOIN {alpha} w ON m.n = w.n GROUP BY k.song_id, k.dot, k.shared) d
         CROSS JOIN (SELECT sum(m.{norm} * w.alpha * w.alpha) AS v FROM norms m JOIN {alpha} w ON m.n = w.n WHERE m.song_id = {song_id}) y
         JOIN songs c ON d.song_id = c.song_id CROSS JOIN (SELECT track_id, artist_id, main_genre FROM songs WHERE song_id = {song_id}) q WHERE {filters}) z
         WHERE copy = 1 ORDER BY similarity DESC, shared DESC, song_id LIMIT {limit}"""
 
 
-def similar_exact(song_id: int, weights: dict[int, float], top_k: int = 20, min_shared: int = 4, weight_column: str = "tfidf_log_count", exclude_same_artist: bool = False, cross_genre: bool = False) -> str:
+def _features(song_id: int, weights: dict[int, float], column: str, index) -> str:
+    return f"SELECT {index.features}f.n, f.hkey, f.{column} * w.alpha AS v, w.alpha, f.df_rate, f.idf FROM {index.song(song_id)} f JOIN {_alpha(weights)} w ON f.n = w.n"
+
+
+def similar_exact(song_id: int, weights: dict[int, float], top_k: int = 20, min_shared: int = 4, weight_column: str = "tfidf_log_count", exclude_same_artist: bool = False, cross_genre: bool = False, index=_Spark) -> str:
     """Cosine over every song that shares at least ``min_shared`` features with the query."""
     norm = WEIGHTS[weight_column]
-    dots = f"""SELECT t.song_id, sum(q.v * t.{weight_column} * q.alpha) AS dot, count(*) AS shared FROM (SELECT f.n, f.hkey, f.{weight_column} * w.alpha AS v, w.alpha FROM tfidf f JOIN {_alpha(weights)} w ON f.n = w.n WHERE f.song_id = {song_id}) q
-        JOIN tfidf t ON t.n = q.n AND t.hkey = q.hkey WHERE t.song_id <> {song_id} GROUP BY t.song_id HAVING count(*) >= {min_shared}"""
+    dots = f"""SELECT {index.hint}t.song_id, sum(q.v * t.{weight_column} * q.alpha) AS dot, count(*) AS shared FROM ({_features(song_id, weights, weight_column, index)}) q
+        JOIN {index.postings("q")} WHERE t.song_id <> {song_id} GROUP BY t.song_id HAVING count(*) >= {min_shared}"""
     return _scored(dots, song_id, weights, norm, _excluding(exclude_same_artist, cross_genre), top_k)
 
 
-def similar_fast(song_id: int, weights: dict[int, float], top_k: int = 20, min_shared: int = 4, weight_column: str = "tfidf_log_count", candidate_features: int = 96, candidate_pool: int = 1200, max_df_rate: float = 0.05, exclude_same_artist: bool = False, cross_genre: bool = False) -> str:
-    """A pool of songs that share the query's rarest heavy features, then the exact cosine of these alone."""
+def similar_fast(song_id: int, weights: dict[int, float], top_k: int = 20, min_shared: int = 4, weight_column: str = "tfidf_log_count", candidate_features: int = 96, candidate_pool: int = 1200, max_df_rate: float = 0.05, exclude_same_artist: bool = False, cross_genre: bool = False, index=_Spark) -> str:
+    """A pool of songs that share the query's rarest heavy features (ties: the rarer, then the longer first), then the exact cosine of these
+    alone, read by song."""
     norm = WEIGHTS[weight_column]
-    q = f"SELECT f.n, f.hkey, f.{weight_column} * w.alpha AS v, w.alpha, f.df_rate FROM tfidf f JOIN {_alpha(weights)} w ON f.n = w.n WHERE f.song_id = {song_id}"
-    rare = f"SELECT n, hkey, v, alpha FROM (SELECT *, row_number() OVER (ORDER BY v DESC, n, hkey) AS r FROM ({q}) q0 WHERE df_rate <= {max_df_rate}) q1 WHERE r <= {candidate_features}"
-    pool = f"""SELECT song_id FROM (SELECT t.song_id, row_number() OVER (ORDER BY round(sum(r.v * t.{weight_column} * r.alpha), 6) DESC, t.song_id) AS place FROM ({rare}) r JOIN tfidf t ON t.n = r.n AND t.hkey = r.hkey
-        WHERE t.song_id <> {song_id} GROUP BY t.song_id HAVING count(*) >= {min_shared}) p WHERE place <= {candidate_pool}"""
-    dots = f"SELECT t.song_id, sum(q.v * t.{weight_column} * q.alpha) AS dot, count(*) AS shared FROM ({q}) q JOIN tfidf t ON t.n = q.n AND t.hkey = q.hkey WHERE t.song_id IN ({pool}) GROUP BY t.song_id"
+    q = _features(song_id, weights, weight_column, index)
+    rare = f"SELECT {index.passed}n, hkey, v, alpha FROM (SELECT *, row_number() OVER (ORDER BY v DESC, idf DESC, n DESC, hkey) AS r FROM ({q}) q0 WHERE df_rate <= {max_df_rate}) q1 WHERE r <= {candidate_features}"
+    pool = f"""SELECT song_id FROM (SELECT {index.hint}t.song_id, row_number() OVER (ORDER BY round(sum(q.v * t.{weight_column} * q.alpha), 6) DESC, count(*) DESC, t.song_id) AS place FROM ({rare}) q JOIN {index.postings("q")}
+        WHERE t.song_id <> {song_id} GROUP BY t.song_id HAVING count(*) >= {min_shared}) p1 WHERE place <= {candidate_pool}"""
+    dots = f"SELECT {index.pool}t.song_id, sum(q.v * t.{weight_column} * q.alpha) AS dot, count(*) AS shared FROM {index.of_songs('p').replace('{rows}', pool)} JOIN ({q}) q ON t.n = q.n AND t.hkey = q.hkey GROUP BY t.song_id"
     return _scored(dots, song_id, weights, norm, _excluding(exclude_same_artist, cross_genre), top_k)
 
 
-def compare_n(song_id: int, ns, top_k: int = 5, min_shared: int = 2, max_df_rate: float | None = None) -> str:
+def compare_n(song_id: int, ns, top_k: int = 5, min_shared: int = 2, max_df_rate: float | None = None, index=_Spark) -> str:
     """An independent ranking for each length, by log counts without weights; ``max_df_rate`` makes it the shortlisted form."""
-    rare = f" AND f.df_rate <= {max_df_rate}" if max_df_rate is not None else ""
+    rare = f" AND df_rate <= {max_df_rate}" if max_df_rate is not None else ""
     return f"""SELECT n, song_id, similarity, shared, CAST(place AS BIGINT) AS place FROM (SELECT d.n, d.song_id, round(d.dot / (sqrt(a.nl) * sqrt(b.nl)), 6) AS similarity, d.shared,
         row_number() OVER (PARTITION BY d.n ORDER BY round(d.dot / (sqrt(a.nl) * sqrt(b.nl)), 6) DESC, d.shared DESC, d.song_id) AS place
-        FROM (SELECT f.n, t.song_id, sum(f.tfidf_log_count * t.tfidf_log_count) AS dot, count(*) AS shared FROM tfidf f JOIN tfidf t ON t.n = f.n AND t.hkey = f.hkey WHERE f.song_id = {song_id} AND t.song_id <> {song_id} AND f.n IN ({", ".join(map(str, ns))}){rare}
-            GROUP BY f.n, t.song_id HAVING count(*) >= {min_shared}) d
+        FROM (SELECT {index.hint}q.n, t.song_id, sum(q.tfidf_log_count * t.tfidf_log_count) AS dot, count(*) AS shared FROM (SELECT * FROM {index.song(song_id)} f WHERE n IN ({", ".join(map(str, ns))}){rare}) q JOIN {index.postings("q")} WHERE t.song_id <> {song_id}
+            GROUP BY q.n, t.song_id HAVING count(*) >= {min_shared}) d
         JOIN norms a ON a.song_id = d.song_id AND a.n = d.n JOIN norms b ON b.song_id = {song_id} AND b.n = d.n) x WHERE place <= {top_k}"""
 
 
-def _shared(song_id: int, candidate_id: int, weights: dict[int, float], column: str) -> str:
-    return f"""SELECT a.n, a.hkey, a.{column} * w.alpha * b.{column} * w.alpha AS contribution, a.cnt AS query_count, b.cnt AS candidate_count FROM tfidf a JOIN tfidf b ON a.n = b.n AND a.hkey = b.hkey JOIN {_alpha(weights)} w ON a.n = w.n
-        WHERE a.song_id = {song_id} AND b.song_id = {candidate_id}"""
+def _shared(song_id: int, candidate_id: int, weights: dict[int, float], column: str, index) -> str:
+    return f"""SELECT a.n, a.hkey, a.{column} * w.alpha * b.{column} * w.alpha AS contribution, a.cnt AS query_count, b.cnt AS candidate_count FROM {index.song(song_id)} a JOIN {index.song(candidate_id)} b ON a.n = b.n AND a.hkey = b.hkey JOIN {_alpha(weights)} w ON a.n = w.n"""
 
 
-def explain_features(song_id: int, candidate_id: int, weights: dict[int, float], top: int = 40, column: str = "tfidf_log_count") -> str:
-    return f"SELECT s.n, s.hkey, h.example, s.query_count, s.candidate_count, round(s.contribution, 6) AS contribution FROM ({_shared(song_id, candidate_id, weights, column)}) s JOIN harm h ON s.n = h.n AND s.hkey = h.hkey ORDER BY round(s.contribution, 6) DESC, s.n, s.hkey LIMIT {top}"
+def explain_features(song_id: int, candidate_id: int, weights: dict[int, float], top: int = 40, column: str = "tfidf_log_count", index=_Spark) -> str:
+    return f"SELECT s.n, s.hkey, h.example, s.query_count, s.candidate_count, round(s.contribution, 6) AS contribution FROM ({_shared(song_id, candidate_id, weights, column, index)}) s JOIN harm h ON s.n = h.n AND s.hkey = h.hkey ORDER BY round(s.contribution, 6) DESC, s.n, s.hkey LIMIT {top}"
 
 
-def explain_by_n(song_id: int, candidate_id: int, weights: dict[int, float], column: str = "tfidf_log_count") -> str:
-    return f"SELECT n, count(*) AS shared, round(sum(contribution), 6) AS contribution, round(sum(contribution) / sum(sum(contribution)) OVER (), 6) AS share FROM ({_shared(song_id, candidate_id, weights, column)}) s GROUP BY n"
+def explain_by_n(song_id: int, candidate_id: int, weights: dict[int, float], column: str = "tfidf_log_count", index=_Spark) -> str:
+    return f"SELECT n, count(*) AS shared, round(sum(contribution), 6) AS contribution, round(sum(contribution) / sum(sum(contribution)) OVER (), 6) AS share FROM ({_shared(song_id, candidate_id, weights, column, index)}) s GROUP BY n"
 
 
-def explain_unique(song_id: int, candidate_id: int, weights: dict[int, float], top: int = 40, column: str = "tfidf_log_count") -> str:
-    return f"""SELECT a.n, a.hkey, a.cnt, round(a.{column} * w.alpha, 6) AS weight FROM tfidf a JOIN {_alpha(weights)} w ON a.n = w.n WHERE a.song_id = {song_id}
-        AND NOT EXISTS (SELECT 1 FROM tfidf b WHERE b.song_id = {candidate_id} AND b.n = a.n AND b.hkey = a.hkey) ORDER BY round(a.{column} * w.alpha, 6) DESC, a.n, a.hkey LIMIT {top}"""
+def explain_unique(song_id: int, candidate_id: int, weights: dict[int, float], top: int = 40, column: str = "tfidf_log_count", index=_Spark) -> str:
+    return f"""SELECT a.n, a.hkey, a.cnt, round(a.{column} * w.alpha, 6) AS weight FROM {index.song(song_id)} a JOIN {_alpha(weights)} w ON a.n = w.n
+        WHERE NOT EXISTS (SELECT 1 FROM {index.song(candidate_id)} b WHERE b.n = a.n AND b.hkey = a.hkey) ORDER BY round(a.{column} * w.alpha, 6) DESC, a.n, a.hkey LIMIT {top}"""
 
 
-def similar_by_n(song_id: int, weights: dict[int, float], top_k: int = 10, column: str = "tfidf_log_count") -> str:
+def similar_by_n(song_id: int, weights: dict[int, float], top_k: int = 10, column: str = "tfidf_log_count", index=_Spark) -> str:
     """Contributions of each length to every result of the exact search."""
-    return f"""SELECT r.song_id, a.n, count(*) AS shared, round(sum(a.{column} * w.alpha * b.{column} * w.alpha), 5) AS contribution FROM ({similar_exact(song_id, weights, top_k)}) r
-        JOIN tfidf b ON b.song_id = r.song_id JOIN tfidf a ON a.song_id = {song_id} AND a.n = b.n AND a.hkey = b.hkey JOIN {_alpha(weights)} w ON a.n = w.n GROUP BY r.song_id, a.n"""
+    results = f"SELECT song_id FROM ({similar_exact(song_id, weights, top_k, index=index)}) r"
+    return f"""SELECT {index.pool}t.song_id, a.n, count(*) AS shared, round(sum(a.{column} * w.alpha * t.{column} * w.alpha), 5) AS contribution FROM {index.of_songs('p').replace('{rows}', results)}
+        JOIN {index.song(song_id)} a ON a.n = t.n AND a.hkey = t.hkey JOIN {_alpha(weights)} w ON a.n = w.n GROUP BY t.song_id, a.n"""
 
 
 table("search_summary", "SELECT s.song_id, s.artist_id, s.main_genre, s.decade, s.track_id, CAST(coalesce(sum(t.indexed), 0) AS BIGINT) AS indexed_windows, CAST(coalesce(sum(t.uniq), 0) AS BIGINT) AS indexed_features FROM songs s LEFT JOIN totals t ON s.song_id = t.song_id GROUP BY s.song_id, s.artist_id, s.main_genre, s.decade, s.track_id")
@@ -172,16 +258,18 @@ def search_songs(store, text: str, limit: int = 20, links: str = "all"):
 
 W = {n: n / 3 for n in NS}
 query("song_tfidf", "SELECT song_id, n, hkey, cnt, round(tf_frequency, 8) AS tf_frequency, round(tf_log_count, 8) AS tf_log_count, round(idf, 8) AS idf, round(tfidf_frequency, 8) AS tfidf_frequency, round(tfidf_log_count, 6) AS tfidf_log_count FROM tfidf")
-query("similar_exact", similar_exact(1, W))
-query("similar_exact_filtered", similar_exact(1, W, weight_column="tfidf_frequency", exclude_same_artist=True, cross_genre=True))
-query("similar_fast", similar_fast(1, W, min_shared=2, max_df_rate=0.2))
-query("similar_by_n", similar_by_n(1, W))
-query("strongest_n", "SELECT song_id, max_by(n, struct(contribution, shared)) AS strongest FROM (" + similar_by_n(1, W) + ") s GROUP BY song_id", "SELECT song_id, first(n ORDER BY contribution DESC, shared DESC) AS strongest FROM (" + similar_by_n(1, W) + ") s GROUP BY song_id")
-query("compare_n", compare_n(1, NS))
-query("compare_n_fast", compare_n(1, NS, max_df_rate=0.2))
-query("explain_features", explain_features(1, 3, W))
-query("explain_by_n", explain_by_n(1, 3, W))
-query("explain_unique", explain_unique(1, 3, W))
+query("similar_exact", similar_exact(1, W), similar_exact(1, W, index=_Duck))
+query("similar_exact_filtered", similar_exact(1, W, weight_column="tfidf_frequency", exclude_same_artist=True, cross_genre=True), similar_exact(1, W, weight_column="tfidf_frequency", exclude_same_artist=True, cross_genre=True, index=_Duck))
+query("similar_fast", similar_fast(1, W, min_shared=2, max_df_rate=0.2), similar_fast(1, W, min_shared=2, max_df_rate=0.2, index=_Duck))
+_PRESETS = lambda index: " UNION ALL ".join(f"SELECT '{k}' AS preset, song_id, similarity, shared FROM ({similar_exact(1, w, 5, 1, index=index)}) {k}_" for k, w in PRESETS.items())
+query("presets", _PRESETS(_Spark), _PRESETS(_Duck))
+query("similar_by_n", similar_by_n(1, W), similar_by_n(1, W, index=_Duck))
+query("strongest_n", "SELECT song_id, max_by(n, struct(contribution, shared)) AS strongest FROM (" + similar_by_n(1, W) + ") s GROUP BY song_id", "SELECT song_id, first(n ORDER BY contribution DESC, shared DESC) AS strongest FROM (" + similar_by_n(1, W, index=_Duck) + ") s GROUP BY song_id")
+query("compare_n", compare_n(1, NS), compare_n(1, NS, index=_Duck))
+query("compare_n_fast", compare_n(1, NS, max_df_rate=0.2), compare_n(1, NS, max_df_rate=0.2, index=_Duck))
+query("explain_features", explain_features(1, 3, W), explain_features(1, 3, W, index=_Duck))
+query("explain_by_n", explain_by_n(1, 3, W), explain_by_n(1, 3, W, index=_Duck))
+query("explain_unique", explain_unique(1, 3, W), explain_unique(1, 3, W, index=_Duck))
 query("search_songs", duck=search_sql(True).replace(":q", "'src1'"))(lambda s: search_songs(s, "src1"))
 query("search_browse", search_sql(False, links="prefer"))
 query("lookup_cached_ids", "SELECT track_id, min(CASE WHEN track_id = 't1' THEN 0 WHEN track_id LIKE 't1%' THEN 1 ELSE 2 END) AS place FROM songs WHERE lower(coalesce(track_id, '')) LIKE '%1%' GROUP BY track_id ORDER BY place, track_id LIMIT 20")

@@ -42,11 +42,11 @@ CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "t
 #: Words of a class, id or role that name page furniture.
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup login share sharing social "
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar footer masthead topbar toolbar widget related recommended recommendations comment comments commentlist disqus reply replies discussion pagination pager search toc tags "
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar footer masthead topbar toolbar widget related recommended recommendations comment comments commentlist disqus reply replies discussion feedback pagination pager search toc tags "
     "complementary contentinfo search form alertdialog".split()
 )
 #: Those of them that name readers' words.
-READERS = frozenset("comment comments commentlist disqus reply replies discussion feedback".split())
+READERS = frozenset("comment comments commentlist disqus reply replies".split())
 HEADERS = frozenset("header site-header page-header top-header".split())
 #: Frequent words of the languages that pages come in.
 STOP_WORDS = frozenset(
@@ -57,7 +57,8 @@ STOP_WORDS = frozenset(
 )
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<([/]?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*)(?:>|$)|<[!?][^>]*(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
+#: A name starts after a delimiter and is taken whole, so that a long run without "=" is read once.
+_ATTRIBUTE = re.compile(r"(?<![^\s=\"'/>])([^\s=\"'/>]++)\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s>]++)")
 _NAMES = re.compile(r"[a-zA-Z]+")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -72,6 +73,12 @@ class Block:
     heading: bool = False
     inside: bool = False  # in the content element
     label: str = ""
+    place: int = 0  # among all blocks of the page, skipped ones included
+
+
+def width(text: str) -> int:
+    """Characters, those of scripts that need few of them for a sentence three times."""
+    return len(text) if text.isascii() else len(text) + 2 * sum(c >= "\u2e80" for c in text)
 
 
 @dataclass(frozen=True)
@@ -108,23 +115,30 @@ def _furniture(attributes: str) -> str:
     return "soft" if soft else ""
 
 
-def segment(page: str, lenient: bool = False) -> tuple[list[Block], bool]:
-    """The blocks of a page outside its furniture, and whether it has a content element; lenient: one inside a form or an element that only
-    its names make furniture counts."""
+STRICT, LENIENT, OPEN = range(3)
+
+
+def segment(page: str, reading: int = STRICT) -> tuple[list[Block], bool, bool]:
+    """The blocks of a page outside its furniture, whether it has a content element, and whether forms or elements that only their names make
+    furniture were left out. LENIENT: a content element inside such an element counts; OPEN: all of them are read."""
     blocks: list[Block] = []
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, str, bool, int]] = []  # open elements: name, skipped, content, furniture around it that it lifts
     opened: Counter[str] = Counter()
     skipped = soft = content = anchors = 0  # soft: those of the skipped that a content element lifts
-    heading = found = False
+    heading = found = named = False
+    place = 0
+    unclosed: set[str] = set()  # names without an end tag from here on
+    lenient = reading == LENIENT
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, place
+        place += 1
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                blocks.append(Block(text, linked, heading, content > 0))
+                blocks.append(Block(text, linked, heading, content > 0, place=place))
             parts.clear()
         linked = 0
 
@@ -178,7 +192,9 @@ def segment(page: str, lenient: bool = False) -> tuple[list[Block], bool]:
                 pass
         else:
             if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                end = None if name in unclosed else re.compile(rf"</{re.escape(name)}\s*+>", re.I).search(page, at)
+                if end is None:
+                    unclosed.add(name)
                 if name != "title" or end:
                     at = end.end() if end else size
                 continue
@@ -199,6 +215,9 @@ def segment(page: str, lenient: bool = False) -> tuple[list[Block], bool]:
             skip = _furniture(m[4]) if m[4] and name not in ("html", "body") else ""
             if skip != "hard" and (name in SKIPPED or name == "header" and not content):
                 skip = "soft" if name == "form" else "hard"
+            named = named or skip == "soft"
+            if reading == OPEN and skip == "soft":
+                skip = ""
             if name == "body":
                 while stack and stack[-1][0] == "head":
                     leave()
@@ -212,13 +231,13 @@ def segment(page: str, lenient: bool = False) -> tuple[list[Block], bool]:
                 anchors += name == "a"
                 found = found or inner and not skipped
     close()
-    return blocks, found
+    return blocks, found, named
 
 
 def first_pass(block: Block, rules: Rules, listed: bool = True) -> str:
     """The label of a block by itself; by length and links alone where the page's language has no stop words here (``listed``)."""
-    n = len(block.text)
-    if block.linked / n > (rules.inner_links if block.inside else rules.links):
+    n = width(block.text)
+    if block.linked / len(block.text) > (rules.inner_links if block.inside else rules.links):
         return BAD
     if "©" in block.text[:40] and not block.inside:
         return BAD
@@ -263,6 +282,8 @@ def second_pass(blocks: list[Block], bounded: bool) -> None:
         right = labels[after[i]] if after[i] < n else None
         if left is None and right is None:
             b.label = GOOD if bounded or labels[i] == NEAR else BAD
+        elif labels[i] == NEAR and (left is None or right is None):
+            b.label = GOOD  # one bad neighbour does not outweigh a block that is nearly good by itself
         elif left == right or left is None or right is None:
             b.label = left or right
         elif labels[i] == NEAR:
@@ -274,21 +295,37 @@ def second_pass(blocks: list[Block], bounded: bool) -> None:
 
 
 def main_text(page: str | None, rules: Rules = Rules()) -> str:
-    """The article of a page: its good blocks in page order, one line each."""
+    """The article of a page: its good blocks in page order, one line each.
+
+    Names alone decide nothing for good. Where forms or named furniture were left out, the page is read again with the content elements
+    inside them: if that finds more than twice the text, the blocks of both readings are joined (a teaser inside a widget does not). Where the result is still less than a third of what the
+    block rules find with all of them read, these are joined too."""
     if not page:
         return ""
-    return _chosen(*segment(page), rules) or _chosen(*segment(page, lenient=True), rules)
+    blocks, bounded, named = segment(page)
+    found = _chosen(blocks, bounded, rules)
+    if named:
+        for reading, share in ((LENIENT, 2), (OPEN, 3)):
+            more = _chosen(*segment(page, reading)[:2], rules)
+            if _size(more) > share * _size(found):
+                found = {**more, **found}
+    return "\n".join(found[k] for k in sorted(found))
+
+
+def _size(found: dict[int, str]) -> int:
+    return sum(map(len, found.values()))
 
 
-def _chosen(blocks: list[Block], bounded: bool, rules: Rules) -> str:
+def _chosen(blocks: list[Block], bounded: bool, rules: Rules) -> dict[int, str]:
+    """The good blocks by their place."""
     if bounded:
         blocks = [b for b in blocks if b.inside]
-    counts = [_stops(b) for b in blocks if len(b.text) >= rules.short and b.linked <= rules.links * len(b.text)]
+    counts = [_stops(b) for b in blocks if width(b.text) >= rules.short and b.linked <= rules.links * len(b.text)]
     listed = sum(s for _, s in counts) >= rules.unlisted * sum(w for w, _ in counts)
     for b in blocks:
         b.label = first_pass(b, rules, listed)
     second_pass(blocks, bounded)
-    return "\n".join(b.text for b in blocks if b.label == GOOD)
+    return {b.place: b.text for b in blocks if b.label == GOOD}
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), rules: Rules = Rules()) -> DataFrame:

@@ -65,6 +65,17 @@ def search(store: Store, params: dict) -> DataFrame:
     return sim.search_songs(store, params.get("q", ""), sim.bounded_int(params.get("limit"), 20, 1, 50), links)
 
 
+@route("/api/spotify")
+def track_metadata(store: Store, params: dict) -> DataFrame:
+    """The cached title and artist of a track."""
+    if not (track := params.get("spotify_song_id", "").strip()):
+        raise ApiError(400, "spotify_song_id is missing")
+    rows = store.table("track_meta").where(F.col("track_id") == track)
+    if rows.isEmpty():
+        raise ApiError(404, f"no metadata of {track}")
+    return rows
+
+
 @route("/api/song")
 @route("/api/chords")
 def song(store: Store, params: dict) -> DataFrame:

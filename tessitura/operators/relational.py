@@ -11,6 +11,7 @@ from tessitura.plans.ranking import placed
 from tessitura.plans.register import query
 from tessitura.plans.store import Store
 from tessitura.sources import songs as files
+from tessitura.sources.tables import Root, attach
 
 # --- scans and sinks ---------------------------------------------------------------------------------------------------------
 
@@ -74,6 +75,32 @@ def sink_upsert(store: Store) -> DataFrame:
     return files.upsert(old, fresh, "song_id", "version")
 
 
+@query("sink_insert_batch", duck="SELECT song_id, artist_id, decade FROM songs")
+def sink_insert_batch(store: Store) -> DataFrame:
+    """The songs in three batches, one of them written twice as after a retry."""
+    root, songs = Root(store.spark, f"{store.folder}/batches"), store.table("songs").select("song_id", "artist_id", "decade")
+    for k in (0, 1, 1, 2):
+        root.append("songs", songs.where(F.pmod("song_id", F.lit(3)) == k), f"part-{k}")
+    return root.read("songs")
+
+
+@query("sink_merge", duck="SELECT song_id, CASE WHEN song_id % 3 = 0 THEN 'new' ELSE 'old' END AS title, CASE WHEN song_id % 3 = 0 THEN 2 ELSE 1 END AS version FROM songs")
+def sink_merge(store: Store) -> DataFrame:
+    """A merge by key into a versioned table; the version before it stays readable."""
+    root, songs = Root(store.spark, f"{store.folder}/merged"), store.table("songs").select("song_id")
+    root.merge("titles", songs.select("song_id", F.lit("old").alias("title"), F.lit(1).alias("version")), "song_id", "version")
+    root.merge("titles", songs.where("song_id % 3 = 0").select("song_id", F.lit("new").alias("title"), F.lit(2).alias("version")), "song_id", "version")
+    return root.read("titles")
+
+
+@query("attach_db", duck="SELECT s.song_id, s.main_genre, t.n, t.uniq FROM songs s JOIN totals t ON s.song_id = t.song_id")
+def attach_db(store: Store) -> DataFrame:
+    """Totals of this store joined with songs of a second root, attached read-only."""
+    Root(store.spark, f"{store.folder}/second").append("songs", store.table("songs").select("song_id", "main_genre"), "all")
+    view = attach(store.spark, f"{store.folder}/second", "second")["songs"]
+    return store.spark.table(view).join(store.table("totals"), "song_id").select("song_id", "main_genre", "n", "uniq")
+
+
 @query("sink_json_api", duck="""SELECT '{"song_id":' || song_id || ',"ratio":' || CASE WHEN song_id % 2 = 0 THEN '0.5' ELSE 'null' END || '}' AS json FROM songs""")
 def sink_json_api(store: Store) -> DataFrame:
     rows = store.table("songs").select("song_id", F.when(F.col("song_id") % 2 == 0, F.lit(0.5)).otherwise(F.lit(float("nan"))).alias("ratio"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -242,18 +243,77 @@ def similar_by_n(song_id: int, weights: dict[int, float], top_k: int = 10, colum
 table("search_summary", "SELECT s.song_id, s.artist_id, s.main_genre, s.decade, s.track_id, CAST(coalesce(sum(t.indexed), 0) AS BIGINT) AS indexed_windows, CAST(coalesce(sum(t.uniq), 0) AS BIGINT) AS indexed_features FROM songs s LEFT JOIN totals t ON s.song_id = t.song_id GROUP BY s.song_id, s.artist_id, s.main_genre, s.decade, s.track_id")
 
 
-def search_sql(has_text: bool, limit: int = 20, links: str = "all") -> str:
-    """The SQL of ``search_songs``; the text, lower-cased, is the parameter ``:q``, so it is never part of the statement."""
-    tests = [f"contains(lower(coalesce({c}, '')), :q)" for c in ("artist_id", "main_genre", "track_id")] + ["CAST(song_id AS STRING) = :q"]
-    where = "indexed_features > 0" + (f" AND ({' OR '.join(tests)})" if has_text else "") + (" AND track_id IS NOT NULL" if links == "only" else "")
-    rank = "CASE WHEN CAST(song_id AS STRING) = :q OR lower(coalesce(track_id, '')) = :q THEN 0 WHEN lower(coalesce(artist_id, '')) = :q THEN 1 ELSE 2 END, " if has_text else ""
-    first = "CASE WHEN track_id IS NOT NULL THEN 0 ELSE 1 END, " if links == "prefer" else ""
-    return f"SELECT song_id, artist_id, main_genre, track_id, indexed_features FROM search_summary WHERE {where} ORDER BY {first}{rank}indexed_features DESC, song_id LIMIT {limit}"
+#: The metadata cache: titles and names of tracks and artists. In the derived corpus they come from pages.
+table("track_meta", "SELECT track_id, min(title) AS title, min(artist) AS artist FROM (SELECT 't' || CAST(page_id % 700 AS STRING) AS track_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '://([^/]+)', 1) AS artist FROM pages) x GROUP BY track_id")
+table("artist_meta", "SELECT artist_id, min(name) AS name FROM (SELECT 'src' || CAST(page_id % 16 AS STRING) AS artist_id, regexp_extract(url, '://([^/]+)', 1) AS name FROM pages) x GROUP BY artist_id")
+#: Every text that a search looks into, once: kind, the id or value that songs carry, and the lower-case text.
+table("search_values", """SELECT 'title' AS kind, track_id AS value, lower(concat_ws(' ', title, artist)) AS text FROM track_meta UNION ALL SELECT 'name', artist_id, lower(name) FROM artist_meta
+    UNION ALL SELECT DISTINCT 'artist', artist_id, lower(artist_id) FROM songs WHERE artist_id IS NOT NULL UNION ALL SELECT DISTINCT 'genre', main_genre, lower(main_genre) FROM songs WHERE main_genre IS NOT NULL
+    UNION ALL SELECT DISTINCT 'track', track_id, lower(track_id) FROM songs WHERE track_id IS NOT NULL""")
+GRAM, GRAM_FOLDERS = 3, 64
+
+
+def _grams(text):
+    """The distinct runs of ``GRAM`` characters of a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (GRAM - 1)), lambda i: F.substring(text, i, F.lit(GRAM))))
+
+
+@table("search_postings", view=True)
+def search_postings(store: Store) -> DataFrame:
+    """gram, kind, value and text in folders of grams: a search reads the folders of its text's grams, never all texts."""
+    rows = store.table("search_values").where(F.length("text") >= GRAM).select(F.explode(_grams(F.col("text"))).alias("gram"), "kind", "value", "text")
+    rows = rows.withColumn("gb", (F.crc32(F.col("gram").cast("binary")) % GRAM_FOLDERS).cast("int"))
+    path = f"{store.folder}/search_postings"
+    rows.repartition(F.col("gb"), F.pmod(F.xxhash64("value"), F.lit(SPLITS))).sortWithinPartitions("gb", "gram").write.mode("overwrite").partitionBy("gb").parquet(path)
+    return store.spark.read.schema(rows.schema).parquet(path)
+
+
+#: Values whose text holds :q. Shorter texts than a gram look at every value, which is a row a value, not a song.
+_HELD = "SELECT kind, value FROM search_values WHERE contains(text, :q)"
+
+
+def _posted(q: str) -> str:
+    """The values whose text holds :q, from the postings of its grams: only their folders are listed."""
+    folders = sorted({zlib.crc32(q[i : i + GRAM].encode()) % GRAM_FOLDERS for i in range(len(q) - GRAM + 1)})
+    grams = f"array_distinct(transform(sequence(1, length(:q) - {GRAM - 1}), i -> substring(:q, i, {GRAM})))"
+    return f"""SELECT kind, value FROM (SELECT kind, value, min(text) AS text, count(*) AS c FROM search_postings WHERE gb IN ({", ".join(map(str, folders))}) AND array_contains({grams}, gram) GROUP BY kind, value) y
+        WHERE c = size({grams}) AND contains(text, :q)"""
+
+
+def search_sql(has_text: bool, limit: int = 20, links: str = "all", held: str = _HELD, track: bool = False) -> str:
+    """The SQL of ``search_songs``; the text, lower-cased, is the parameter ``:q``, a track id in it ``:t``, so neither is part of the statement.
+    Tiers: the song's own number, then artists whose name holds the text, then tracks whose title does or whose id was given, then the rest."""
+    only = " AND s.track_id IS NOT NULL" if links == "only" else ""
+    first = "CASE WHEN s.track_id IS NOT NULL THEN 0 ELSE 1 END, " if links == "prefer" else ""
+    columns = "s.song_id, s.artist_id, s.main_genre, s.track_id, s.indexed_features"
+    if not has_text:
+        return f"SELECT {columns} FROM search_summary s WHERE s.indexed_features > 0{only} ORDER BY {first}s.indexed_features DESC, s.song_id LIMIT {limit}"
+    given = "s.track_id = :t" if track else "1 = 0"
+    of = lambda kinds, best: f"(SELECT value, max(CASE WHEN kind = '{best}' THEN 1 ELSE 0 END) AS best FROM m WHERE kind IN ({kinds}) GROUP BY value)"
+    return f"""WITH m AS ({held}) SELECT {columns} FROM search_summary s LEFT JOIN {of("'artist', 'name'", 'name')} a ON s.artist_id = a.value LEFT JOIN {of("'track', 'title'", 'title')} t ON s.track_id = t.value
+        LEFT JOIN {of("'genre'", 'genre')} g ON s.main_genre = g.value
+        WHERE s.indexed_features > 0{only} AND (CAST(s.song_id AS STRING) = :q OR a.value IS NOT NULL OR t.value IS NOT NULL OR g.value IS NOT NULL OR {given})
+        ORDER BY CASE WHEN CAST(s.song_id AS STRING) = :q THEN 0 ELSE 1 END, CASE WHEN a.best = 1 THEN 0 ELSE 1 END, CASE WHEN t.best = 1 OR {given} THEN 0 ELSE 1 END, {first}s.indexed_features DESC, s.song_id LIMIT {limit}"""
 
 
 def search_songs(store, text: str, limit: int = 20, links: str = "all"):
-    """Metadata search, best matches first; an empty text browses the songs with most features. links: all, only or prefer."""
-    return store.sql(search_sql(bool(text), limit, links), {"q": text.lower()} if text else None)
+    """Search by number, id, artist, genre and the cache's titles and names, best tier first; an empty text browses the songs with most
+    features. links: all, only or prefer."""
+    q, track = text.strip().lower(), track_id(text)
+    if not q:
+        return store.sql(search_sql(False, limit, links))
+    return store.sql(search_sql(True, limit, links, _posted(q) if len(q) >= GRAM else _HELD, track is not None), {"q": q} | ({"t": track} if track else {}))
+
+
+def lookup_sql(kind: str, limit: int, held: str = _HELD) -> str:
+    """Ids of the cache whose title or name holds :q: the whole text first, then texts that start with it."""
+    return f"""SELECT v.value, v.text, CASE WHEN v.text = :q THEN 0 WHEN substr(v.text, 1, length(:q)) = :q THEN 1 ELSE 2 END AS place FROM search_values v JOIN ({held}) m ON v.kind = m.kind AND v.value = m.value
+        WHERE v.kind = '{kind}' ORDER BY place, v.text, v.value LIMIT {limit}"""
+
+
+def lookup(store, kind: str, text: str, limit: int = 80):
+    q = text.strip().lower()
+    return store.sql(lookup_sql(kind, limit, _posted(q) if len(q) >= GRAM else _HELD), {"q": q})
 
 
 W = {n: n / 3 for n in NS}
@@ -271,6 +331,11 @@ query("explain_features", explain_features(1, 3, W), explain_features(1, 3, W, i
 query("explain_by_n", explain_by_n(1, 3, W), explain_by_n(1, 3, W, index=_Duck))
 query("explain_unique", explain_unique(1, 3, W), explain_unique(1, 3, W, index=_Duck))
 query("search_songs", duck=search_sql(True).replace(":q", "'src1'"))(lambda s: search_songs(s, "src1"))
+query("search_titles", duck=search_sql(True, links="prefer").replace(":q", "'the'"))(lambda s: search_songs(s, "The", links="prefer"))
+query("lookup_artist_ids", duck=lookup_sql("name", 80).replace(":q", "'example'"))(lambda s: lookup(s, "name", "example"))
+query("lookup_title_ids", duck=lookup_sql("title", 80).replace(":q", "'th'"))(lambda s: lookup(s, "title", "th"))
+query("spotify_meta", "SELECT track_id, title, artist FROM track_meta WHERE track_id = 't1'")
+query("scan_sqlite", "SELECT m.track_id, m.title, m.artist, count(s.song_id) AS songs FROM track_meta m LEFT JOIN songs s ON m.track_id = s.track_id GROUP BY m.track_id, m.title, m.artist")
 query("search_browse", search_sql(False, links="prefer"))
 query("lookup_cached_ids", "SELECT track_id, min(CASE WHEN track_id = 't1' THEN 0 WHEN track_id LIKE 't1%' THEN 1 ELSE 2 END) AS place FROM songs WHERE lower(coalesce(track_id, '')) LIKE '%1%' GROUP BY track_id ORDER BY place, track_id LIMIT 20")
 query("song_detail", "SELECT s.song_id, s.artist_id, s.main_genre, s.decade, t.n, t.total_windows, t.uniq, array_join(slice(s.tokens, 1, 24), ' ') || CASE WHEN size(s.tokens) > 24 THEN ' ...' ELSE '' END AS excerpt FROM songs s JOIN totals t ON s.song_id = t.song_id WHERE s.song_id = 5",

@@ -13,6 +13,7 @@ from tessitura.operators import classify, embeddings, language_model, ngrams
 from tessitura.operators import similarity as sim
 from tessitura.plans import catalogue, store
 from tessitura.plans.ranking import placed
+from tessitura.sources import tables
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
@@ -183,3 +184,36 @@ def test_meta_of_pages(spark):
 
 def test_presets_are_fixed():
     assert sim.PRESETS["rare"] == {3: 0.4, 4: 0.7, 5: 1.2, 6: 2.0, 7: 3.2, 8: 4.0} and set(sim.PRESETS["long"]) == {6, 7, 8} and sim.PRESETS["balanced"][4] == 1.33
+
+
+def test_versioned_tables(spark, tmp_path):
+    root = tables.Root(spark, str(tmp_path / "a"))
+    rows = lambda *x: spark.createDataFrame(list(x), "k long, v int, t string")
+    assert root.tables() == [] and root.batches("x") == []
+    with pytest.raises(KeyError):
+        root.read("x")
+    assert root.append("x", rows((1, 1, "a"), (2, 1, "a")), "b1") == 1
+    assert root.append("x", rows((3, 1, "b")), "b2") == 2
+    assert root.append("x", rows((3, 1, "c"), (4, 1, "c")), "b2") == 2  # a retried batch
+    assert {tuple(r) for r in root.read("x").collect()} == {(1, 1, "a"), (2, 1, "a"), (3, 1, "c"), (4, 1, "c")}
+    assert root.merge("x", rows((1, 0, "older"), (2, 1, "tie"), (9, 5, "new")), "k", "v") == 3
+    assert {tuple(r) for r in root.read("x").collect()} == {(1, 1, "a"), (2, 1, "tie"), (3, 1, "c"), (4, 1, "c"), (9, 5, "new")}
+    assert root.read("x", 1).count() == 2 and root.versions("x") == [1, 2, 3]
+    (tmp_path / "a/x/manifest/00000004").mkdir()  # a commit that was lost half way
+    assert root.versions("x") == [1, 2, 3] and root.read("x").count() == 5
+    other = tables.Root(spark, str(tmp_path / "b"))
+    other.append("y", rows((1, 1, "z")), "only")
+    assert tables.attach(spark, str(tmp_path / "b"), "second") == {"y": "second_y"}
+    assert spark.table("second_y").join(root.read("x"), "k").count() == 1
+    with pytest.raises(PermissionError):
+        tables.Root(spark, str(tmp_path / "b"), read_only=True).append("y", rows(), "more")
+
+
+def test_search_reads_the_folders_of_its_grams(corpus):
+    df = sim.search_songs(corpus, "example.org")
+    assert df.count() > 0 and "PartitionFilters: [isnotnull(gb" in plan_of(df).replace("gb#", "gb") or "PartitionFilters: [gb" in plan_of(df)
+    assert sim.search_songs(corpus, "t1").first().track_id is not None
+    first = corpus.sql("SELECT song_id FROM search_summary WHERE indexed_features > 0 ORDER BY song_id LIMIT 1").first().song_id
+    assert sim.search_songs(corpus, str(first)).first().song_id == first
+    long = "a" * 22
+    assert sim.search_songs(corpus, f"https://x.example/track/{long}").isEmpty()

@@ -155,6 +155,7 @@ def test_requests(corpus):
     assert api.handle(corpus, "/api/song", {"song_id": "1"})[0] == 200
     assert api.handle(corpus, "/api/health", {})[0] == 200
     assert api.handle(corpus, "/api/nothing", {})[0] == 404
+    assert [api.handle(corpus, "/api/spotify", x)[0] for x in ({}, {"spotify_song_id": "t1"}, {"spotify_song_id": "none"})] == [400, 200, 404]
     assert api.handle(corpus, "/api/song", {"song_id": "x"})[0] == 400
     assert api.handle(corpus, "/api/song", {"song_id": "99999999"})[0] == 404
     assert api.handle(corpus, "/api/similar", {"song_id": "1", "weights": "3:nan"})[0] == 400
@@ -185,9 +186,10 @@ def test_entry_works_without_the_training_operators(monkeypatch):
     assert "similar_exact" in entry.oracle_sql()
 
 
-@pytest.mark.parametrize("text", ["\\' OR true) ORDER BY 1 -- ", "a\\", "'", "\\", "%", "_", ":q"])
+@pytest.mark.parametrize("text", ["\\' OR true) ORDER BY 1 -- ", "a\\", "'", "\\", "%", "_", ":q", "the", "example.org", "ö"])
 def test_search_text_is_no_sql(corpus, text):
-    like = F.lit(text.lower())
-    held = [F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), like) for c in ("artist_id", "main_genre", "track_id")]
-    want = corpus.table("search_summary").where("indexed_features > 0").where(held[0] | held[1] | held[2]).count()
+    held = corpus.table("search_values").where(F.contains("text", F.lit(text.strip().lower())))
+    of = lambda *kinds: [r.value for r in held.where(F.col("kind").isin(*kinds)).collect()]
+    found = F.col("artist_id").isin(of("artist", "name")) | F.col("track_id").isin(of("track", "title")) | F.col("main_genre").isin(of("genre"))
+    want = corpus.table("search_summary").where("indexed_features > 0").where(found).count()
     assert api.ROUTES["/api/search"](corpus, {"q": text}).count() == min(want, 20)

@@ -13,7 +13,7 @@ or an element whose names make it furniture (but not hidden, and no readers' com
 occur, length and link density decide alone.
 
 Nulls: a null or empty page has no text. Unclosed, misnested and truncated markup is read as far as it goes. Equal rows are read one
-by one; an empty table gives an empty result; columns named in ``keep`` are carried, others are not read.
+by one; an empty table gives an empty result; columns named in ``keep`` are carried, others are not read. There are no ties. A very long page is read whole in linear time, in a slice of its own.
 """
 
 from __future__ import annotations

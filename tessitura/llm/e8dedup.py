@@ -13,7 +13,8 @@ of their links, never pairs.
 
 Vectors that are null, zero or hold null or non-finite components, and rows with a null label, link with nothing; vectors of different
 lengths never link. Rows with a null id take part. Equal rows are vectors of one node each. An empty table gives no row. Extra columns
-are not read.
+are not read. Ties of cosine at the threshold are links. Long vectors are compared in
+chunks of rows; a vector is kept whole.
 """
 
 from __future__ import annotations

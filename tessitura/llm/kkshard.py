@@ -11,9 +11,8 @@ differenced on the driver in the same way: their number is the number of groups
 Slots are gapless per shard without a global sort: rows are dealt by a hash of their id to blocks, counted per (block, shard), and
 numbered inside each behind the counts of earlier blocks.
 
-Laws: ``bytes`` (this method), ``rows`` (row counts at most one apart: slots dealt round) and ``key`` (a consistent hash of the id:
-one shard more takes rows only into itself). Nulls: a null text has size 1 and CRC 0 and shares the group of the empty text; rows
-with a null id are kept. Equal rows keep a row each. An empty table gives no row. Extra columns are not read.
+The law is ``bytes``: shards of near equal bytes. Nulls: a null text has size 1 and CRC 0 and shares the group of the empty text; rows
+with a null id are kept. Equal rows keep a row each. An empty table gives no row. Extra columns are not read. A very long text counts by its bytes alone and is never moved whole into numpy.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ file names and counts of counts.
 Words are told apart by 64-bit hashes for counts and 48-bit ones inside bigrams.
 
 Nulls: a null text is empty: one end token. Null ids are kept and, for training, belong to the others. Equal rows are scored one by
-one. An empty training set gives every token probability 1 / (V + 1) = 1; an empty table gives no row. Extra columns are not read.
+one. An empty training set gives every token probability 1 / (V + 1) = 1; an empty table gives no row. Extra columns are not read. There are no ties. A very long text is scored
+whole, some hundred bytes a word in its task.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ learn from). Ties go to the alphabetically first language. The score is the post
 ``1 + n_grams / calm``, since neighbouring n-grams are far from independent; it lies in 0 to 1 and is 0 for ``und``.
 
 Nulls: rows with a null language or text teach nothing; a null id is kept. Equal rows are judged one by one; an empty table gives an
-empty result. Extra columns are not read.
+empty result. Extra columns are not read. A very long text is a slice of its own, some hundred bytes a character.
 """
 
 from __future__ import annotations
@@ -73,16 +73,26 @@ class Model:
     prior: np.ndarray
     calm: float = 50.0
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        found = features(text, len(self.weights)) if text else ()
-        if not len(found) or not self.languages:
-            return UND, 0.0
-        counts = np.bincount(found)
-        at = np.flatnonzero(counts)
-        total = counts[at] @ self.weights[at] / (1 + len(found) / self.calm) + self.prior
-        total = np.exp(total - total.max())
-        best = int(np.argmax(total))
-        return self.languages[best], float(total[best] / total.sum())
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text of a slice: one sparse array of (text, feature) counts, a language's weights at a time."""
+        dim = len(self.weights)
+        found = [features(t, dim) if t else np.empty(0, np.int64) for t in texts]
+        n = np.array([len(x) for x in found])
+        out = [(UND, 0.0)] * len(texts)
+        full = np.flatnonzero(n)
+        if not len(full) or not self.languages:
+            return out
+        key, count = np.unique(np.concatenate([found[k] + i * dim for i, k in enumerate(full)]), return_counts=True)
+        owner, at = key // dim, key % dim
+        start = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        total = np.stack([np.add.reduceat(count * self.weights[at, k], start) for k in range(len(self.languages))], axis=1)
+        total = total / (1 + n[full, None] / self.calm) + self.prior
+        total = np.exp(total - total.max(axis=1, keepdims=True))
+        best = np.argmax(total, axis=1)
+        score = total[np.arange(len(full)), best] / total.sum(axis=1)
+        for k, b, p in zip(full.tolist(), best.tolist(), score.tolist(), strict=True):
+            out[k] = self.languages[b], p
+        return out
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = MAX_ROWS, dim: int = DIM, alpha: float = 0.1) -> Model:
@@ -136,8 +146,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", names: Sequen
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared.hold_nothing()
         fitted = shipped.value
-        for batch in shared.sliced(batches, "t"):
-            found = [fitted.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+        for batch in shared.sliced(batches, "t", size=1 << 20):
+            found = fitted.predict(batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*inner, "lang", "score"])
 
     out = rows.mapInArrow(run, schema)

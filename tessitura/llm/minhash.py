@@ -20,7 +20,8 @@ capped: links decide components exactly, up to the signatures' error above.
 
 Nulls: a null text is empty; a text without words has no shingles (size 0) and links with nothing; one with fewer than ``width`` words
 is one shingle. Rows with a null id take part: the smallest id that is not null names a component, and they are kept only if all ids of
-their component are null. Equal rows fall into one node. An empty table gives no row. Extra columns are not read.
+their component are null. Equal rows fall into one node. An empty table gives no row. Extra columns are not read. Ties of similarity count as links; the smallest id, then
+the smallest hash of id and text, stands for a group. A very long text is shingled whole, some 80 bytes a word in its task.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ what each rule of a policy rejects, rejects alone, and what dropping it would br
 
 Words are runs of anything but the ASCII characters tab, line feed, vertical tab, form feed, return and space. Lines are cut at line
 feeds. Nulls: a null text has no words and no lines; a null id is kept. Equal rows are judged one by one. An empty table gives an
-empty ledger. The ledger carries the columns of its input named in ``keep``; measurements replace input columns of the same name.
+empty ledger. The ledger carries the columns of its input named in ``keep``; measurements replace input columns of the same name. There are no ties. A very long text is measured whole, in a slice of its own.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ no document's data ever reaches the driver. A task writes files named after its
 names them, so lost executors and speculative copies leave no wrong shard behind.
 
 Nulls: a null text is an empty one (only the end id remains), a null id sorts first and is kept; equal ids keep a row each, ordered
-by text. An empty table gives no shard and no row. Extra columns are not read.
+by text. An empty table gives no shard and no row. Extra columns are not read. There are no ties: equal rows are equal
+records. A very long text is a slice and a record of its own.
 """
 
 from __future__ import annotations

@@ -15,21 +15,25 @@ def vocabulary(name: str) -> str:
 
 
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids, ranges and checksums of every document's record, read back from the files."""
     manifest = records.write(shared.documents(spark, sf_dir), shared.shared_dir(spark, "records"), vocabulary("byte_bpe_50k.json"), "byte", end_id=0)
     return records.read(manifest, digests=True)
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document; languages of the held-out fold are never seen."""
     docs = shared.documents(spark, sf_dir).withColumn("held_out", langid.held_out())
     model = langid.train(docs.where(~F.col("held_out")))
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every piece of every document lies in the packed sequences."""
     return packing.pack(shared.documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), "word", end_id=1)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements, failure bits and the production policy's verdict of every document."""
     book = quality.ledger(shared.documents(spark, sf_dir))
     return quality.verdicts(book).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
@@ -73,28 +77,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 
 
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and verdict of every vector."""
     return e8dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles, component and verdict of every document."""
     return minhash.near_duplicates(shared.documents(spark, sf_dir))
 
 
 def op7_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and model log probabilities of every document; the held-out fold is never counted."""
     docs = shared.documents(spark, sf_dir).withColumn("held_out", langid.held_out(folds=7))
     model = knlm.train(docs.where(~F.col("held_out")), shared.shared_dir(spark, "lm"))
     return knlm.score(docs, model, keep=("doc_id", "held_out"))
 
 
 def op8_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return blocks.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document under the law of near equal bytes."""
     return kkshard.shard_by_bytes(shared.documents(spark, sf_dir), 8)
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's pieces and of the text decoded from them."""
     return piecebpe.encode_documents(shared.documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 

@@ -48,6 +48,21 @@ def test_language_cases(docs, empty):
     assert langid.predict(empty, model).isEmpty()
 
 
+def test_language_batches_score_like_single_texts(docs):
+    model = langid.train(docs)
+    texts = [t for _, t, _ in CASES] + ["", None, "!", "über das"]
+    together = model.predict(texts)
+    assert together == [model.predict([t])[0] for t in texts]
+    for t, (lang, score) in zip(texts, together, strict=True):
+        found = langid.features(t) if t else ()
+        if not len(found):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        logs = sum(model.weights[f] for f in found.tolist()) / (1 + len(found) / model.calm) + model.prior
+        p = np.exp(logs - logs.max())
+        assert lang == model.languages[int(np.argmax(p))] and abs(score - p.max() / p.sum()) < 1e-6
+
+
 def test_language_of_letters_beyond_the_first_planes(spark):
     docs = spark.createDataFrame([(1, chr(0x20000) * 5 + chr(0x2A6D0), "zh"), (2, "plain words here", "en"), (3, chr(0x1F600), "en"), (4, chr(0x30000) + chr(0x10FFFF), "zh")], "doc_id long, text string, lang string")
     rows = {r.doc_id: r for r in langid.predict(docs, langid.train(docs)).collect()}

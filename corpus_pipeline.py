@@ -2,6 +2,8 @@
 
 Each stage takes all rows that the one before it kept and returns the columns of ``documents``; the last returns a row per packed piece.
 Rows with null or empty texts are rejected by the first stage (no language); every decision is the operator's own.
+Rows with repeated ids are told apart by their text, rows repeated whole stay once; of near duplicates the smallest id stays, a null id comes last.
+Very long texts are read whole by every stage, an empty table gives empty results, and extra columns travel along.
 """
 
 from __future__ import annotations

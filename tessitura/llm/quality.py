@@ -74,8 +74,6 @@ def _ratio(part: str, whole: str) -> Column:
     return F.try_divide(F.col(part), F.col(whole))
 
 
-
-
 def rules() -> dict[str, Column]:
     """The rules in bit order; new ones go at the end, so that stored ledgers stay valid."""
     return {

@@ -76,6 +76,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the production policy does by itself, from the stored ledger."""
+    return quality.ablations(shared.staged(quality.ledger(shared.documents(spark, sf_dir)), "ledger"))
+
+
+ABLATIONS_SQL = f"""{QUALITY_SQL[: QUALITY_SQL.rindex("SELECT doc_id, n_words")].rstrip()},
+r AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_words', 2), ('short_words', 8), ('long_words', 16), ('symbols', 32), ('duplicate_lines', 64), ('no_letters', 128), ('ellipses', 256),
+    ('bullets', 512), ('endless_word', 1024), ('upper_case', 2048), ('exclaims', 4096)) v(rule, bit)),
+j AS (SELECT fail_bits & 8187 AS bits FROM b)
+SELECT rule, count(*) FILTER (bits & bit <> 0)::BIGINT AS n_failed, count(*) FILTER (bits = bit)::BIGINT AS n_failed_alone, count(*) FILTER (bits & ~bit = 0)::BIGINT AS n_kept_without FROM r, j GROUP BY rule
+"""
+
+
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, component and verdict of every vector."""
     return e8dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
@@ -156,8 +169,8 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
 
 
 def queries():
-    return {k: f for k, f in globals().items() if k[:2] == "op" and callable(f)}
+    return {k: f for k, f in globals().items() if k[:2] == "op" and callable(f)} | {"quality_ablations": quality_ablations}
 
 
 def oracle_sql():
-    return {"op4_quality": QUALITY_SQL, "op11_lexical_search": LEXICAL_SEARCH_SQL, "op13_fill_in_middle": FILL_IN_MIDDLE_SQL}
+    return {"op4_quality": QUALITY_SQL, "quality_ablations": ABLATIONS_SQL, "op11_lexical_search": LEXICAL_SEARCH_SQL, "op13_fill_in_middle": FILL_IN_MIDDLE_SQL}

@@ -18,6 +18,7 @@ by one; an empty table gives an empty result; columns named in ``keep`` are carr
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections import Counter
@@ -115,50 +116,59 @@ def _furniture(attributes: str) -> str:
     return "soft" if soft else ""
 
 
+#: Readings of a page. STRICT leaves out forms and elements that only their names make furniture; LENIENT reads a content element inside
+#: them; OPEN reads them whole. Hidden elements, readers' comments and elements such as nav are in none.
 STRICT, LENIENT, OPEN = range(3)
 
 
-def segment(page: str, reading: int = STRICT) -> tuple[list[Block], bool, bool]:
-    """The blocks of a page outside its furniture, whether it has a content element, and whether forms or elements that only their names make
-    furniture were left out. LENIENT: a content element inside such an element counts; OPEN: all of them are read."""
-    blocks: list[Block] = []
-    parts: list[str] = []
-    linked = 0
-    stack: list[tuple[str, str, bool, int]] = []  # open elements: name, skipped, content, furniture around it that it lifts
+@dataclass
+class Segments:
+    """A page read once: its blocks as (place, heading, inside, parts), a part being (first reading that has it, text, in a link)."""
+
+    rows: list[tuple[int, bool, bool, list[tuple[int, str, bool]]]]
+    found: list[bool]  # whether a reading has a content element
+    named: bool = False  # whether readings differ
+
+    def blocks(self, reading: int) -> list[Block]:
+        out = []
+        for place, heading, inside, parts in self.rows:
+            held = [x for x in parts if x[0] <= reading] if self.named else parts
+            text = _SPACE.sub(" ", "".join(x[1] for x in held)).strip()
+            if text:
+                out.append(Block(text, sum(len(x[1].strip()) for x in held if x[2]), heading, inside, place=place))
+        return out
+
+
+def segment(page: str) -> Segments:
+    """The blocks of a page outside its furniture."""
+    rows: list[tuple[int, bool, bool, list[tuple[int, str, bool]]]] = []
+    parts: list[tuple[int, str, bool]] = []
+    stack: list[tuple[str, str, bool, int]] = []  # open elements: name, skipped, content, soft elements since the content around it
     opened: Counter[str] = Counter()
-    skipped = soft = content = anchors = 0  # soft: those of the skipped that a content element lifts
-    heading = found = named = False
+    hard = soft = deep = content = anchors = 0  # deep: soft elements inside the innermost content element
+    heading = named = False
+    found = [False] * 3
     place = 0
     unclosed: set[str] = set()  # names without an end tag from here on
-    lenient = reading == LENIENT
 
     def close() -> None:
-        nonlocal linked, place
+        nonlocal place, parts
         place += 1
         if parts:
-            text = _SPACE.sub(" ", "".join(parts)).strip()
-            if text:
-                blocks.append(Block(text, linked, heading, content > 0, place=place))
-            parts.clear()
-        linked = 0
+            rows.append((place, heading, content > 0, parts))
+            parts = []
 
     def say(text: str) -> None:
-        nonlocal linked
-        if text and not skipped:
-            text = html.unescape(text) if "&" in text else text
-            parts.append(text)
-            if anchors:
-                linked += len(text.strip())
+        if text and not hard:
+            parts.append((STRICT if not soft else LENIENT if not deep else OPEN, html.unescape(text) if "&" in text else text, anchors > 0))
 
     def leave() -> str:
-        nonlocal skipped, soft, content, anchors
-        name, skip, inner, lifted = stack.pop()
+        nonlocal hard, soft, deep, content, anchors
+        name, skip, inner, before = stack.pop()
         opened[name] -= 1
-        if skip:
-            skipped -= 1
-            soft -= skip == "soft"
-        skipped += lifted
-        soft += lifted
+        hard -= skip == "hard"
+        soft -= skip == "soft"
+        deep = before
         content -= inner
         anchors -= name == "a"
         return name
@@ -216,22 +226,22 @@ def segment(page: str, reading: int = STRICT) -> tuple[list[Block], bool, bool]:
             if skip != "hard" and (name in SKIPPED or name == "header" and not content):
                 skip = "soft" if name == "form" else "hard"
             named = named or skip == "soft"
-            if reading == OPEN and skip == "soft":
-                skip = ""
             if name == "body":
                 while stack and stack[-1][0] == "head":
                     leave()
             if not m[4].endswith("/") or name in BLOCKS:
-                lifted = soft if lenient and inner and not skip and skipped == soft else 0
-                stack.append((name, skip, inner, lifted))
+                stack.append((name, skip, inner, deep))
                 opened[name] += 1
-                skipped += bool(skip) - lifted
-                soft += (skip == "soft") - lifted
+                hard += skip == "hard"
+                soft += skip == "soft"
+                deep = 0 if inner and not skip else deep + (skip == "soft")
                 content += inner
                 anchors += name == "a"
-                found = found or inner and not skipped
+                if inner and not hard:
+                    for reading, out in enumerate((soft, deep, 0)):
+                        found[reading] = found[reading] or not out
     close()
-    return blocks, found, named
+    return Segments(rows, found, named)
 
 
 def first_pass(block: Block, rules: Rules, listed: bool = True) -> str:
@@ -245,7 +255,7 @@ def first_pass(block: Block, rules: Rules, listed: bool = True) -> str:
         return SHORT
     if not listed and not block.inside:
         return GOOD if n > rules.long else NEAR
-    words, stops = _stops(block)
+    words, stops = _stops(block.text)
     stops /= max(1, words)
     if stops >= rules.stop_high:
         return GOOD if n > rules.long else NEAR
@@ -254,10 +264,11 @@ def first_pass(block: Block, rules: Rules, listed: bool = True) -> str:
     return BAD
 
 
-def _stops(block: Block) -> tuple[int, int]:
-    """A block's words, and how many of them are stop words."""
-    words = _WORD.findall(block.text)
-    return len(words), sum(w.lower() in STOP_WORDS for w in words)
+@functools.lru_cache(4096)
+def _stops(text: str) -> tuple[int, int]:
+    """A block's words, and how many of them are stop words; passes and readings of a page ask for the same blocks."""
+    words = _WORD.findall(text.lower())
+    return len(words), sum(map(STOP_WORDS.__contains__, words))
 
 
 def second_pass(blocks: list[Block], bounded: bool) -> None:
@@ -302,11 +313,11 @@ def main_text(page: str | None, rules: Rules = Rules()) -> str:
     block rules find with all of them read, these are joined too."""
     if not page:
         return ""
-    blocks, bounded, named = segment(page)
-    found = _chosen(blocks, bounded, rules)
-    if named:
+    read = segment(page)
+    found = _chosen(read, STRICT, rules)
+    if read.named:
         for reading, share in ((LENIENT, 2), (OPEN, 3)):
-            more = _chosen(*segment(page, reading)[:2], rules)
+            more = _chosen(read, reading, rules)
             if _size(more) > share * _size(found):
                 found = {**more, **found}
     return "\n".join(found[k] for k in sorted(found))
@@ -316,11 +327,12 @@ def _size(found: dict[int, str]) -> int:
     return sum(map(len, found.values()))
 
 
-def _chosen(blocks: list[Block], bounded: bool, rules: Rules) -> dict[int, str]:
-    """The good blocks by their place."""
+def _chosen(read: Segments, reading: int, rules: Rules) -> dict[int, str]:
+    """The good blocks of a reading by their place."""
+    blocks, bounded = read.blocks(reading), read.found[reading]
     if bounded:
         blocks = [b for b in blocks if b.inside]
-    counts = [_stops(b) for b in blocks if width(b.text) >= rules.short and b.linked <= rules.links * len(b.text)]
+    counts = [_stops(b.text) for b in blocks if width(b.text) >= rules.short and b.linked <= rules.links * len(b.text)]
     listed = sum(s for _, s in counts) >= rules.unlisted * sum(w for w, _ in counts)
     for b in blocks:
         b.label = first_pass(b, rules, listed)

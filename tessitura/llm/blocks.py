@@ -62,6 +62,7 @@ _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<([/]?)([a-zA-Z
 _ATTRIBUTE = re.compile(r"(?<![^\s=\"'/>])([^\s=\"'/>]++)\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s>]++)")
 _NAMES = re.compile(r"[a-zA-Z]+")
 _SPACE = re.compile(r"\s+")
+_WIDE = re.compile("[\u2e80-\U0010ffff]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 BAD, SHORT, NEAR, GOOD = "bad", "short", "near", "good"
@@ -79,7 +80,7 @@ class Block:
 
 def width(text: str) -> int:
     """Characters, those of scripts that need few of them for a sentence three times."""
-    return len(text) if text.isascii() else len(text) + 2 * sum(c >= "\u2e80" for c in text)
+    return len(text) if text.isascii() or not _WIDE.search(text) else len(text) + 2 * len(_WIDE.findall(text))
 
 
 @dataclass(frozen=True)
@@ -129,6 +130,10 @@ class Segments:
     found: list[bool]  # whether a reading has a content element
     named: bool = False  # whether readings differ
 
+    def size(self, reading: int) -> int:
+        """Characters that a reading has at most."""
+        return sum(len(x[1]) for _, _, _, parts in self.rows for x in parts if x[0] <= reading)
+
     def blocks(self, reading: int) -> list[Block]:
         out = []
         for place, heading, inside, parts in self.rows:
@@ -317,6 +322,8 @@ def main_text(page: str | None, rules: Rules = Rules()) -> str:
     found = _chosen(read, STRICT, rules)
     if read.named:
         for reading, share in ((LENIENT, 2), (OPEN, 3)):
+            if read.size(reading) <= share * _size(found):
+                continue  # it has no more text than that at all
             more = _chosen(read, reading, rules)
             if _size(more) > share * _size(found):
                 found = {**more, **found}

@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if spark.sparkContext.getCheckpointDir() is None:
-            if not spark.sparkContext.master.startswith("local["):
+            if spark.sparkContext.master.split("[")[0] != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessitura-"))
         base = spark.sparkContext.getCheckpointDir()

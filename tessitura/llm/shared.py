@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -142,9 +144,19 @@ def hold(name: str, clear: Callable[[], None]) -> None:
         for other, empty in _CACHES.items():
             if other != name:
                 empty()
+        if _HOLDER:
+            give_back()
         _HOLDER[:] = [name]
 
 
+def give_back() -> None:
+    """What a worker has freed goes back to the machine: else it stays with the worker, and counts beside the next stage's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def hold_nothing() -> None:
     """For tasks that keep no tables of their own."""
     hold("nothing", lambda: None)

@@ -93,16 +93,16 @@ def similar(store: Store, params: dict) -> DataFrame:
     top, shared = sim.bounded_int(params.get("top_k"), 20, 1, 100), sim.bounded_int(params.get("min_shared"), 4, 1, 500)
     filters = {"exclude_same_artist": _flag(params, "exclude_same_artist"), "cross_genre": _flag(params, "cross_genre")}
     if _flag(params, "exact"):
-        return store.sql(sim.similar_exact(number, weights, top, shared, column, **filters))
+        return sim.asked(store, sim.similar_exact, number, weights, top, shared, column, **filters)
     pool = sim.bounded_int(params.get("candidate_pool"), max(12 * top, 1200), top, 10_000)
     features = sim.bounded_int(params.get("candidate_features"), 96, 16, 500)
-    return store.sql(sim.similar_fast(number, weights, top, shared, column, features, pool, sim.bounded_float(params.get("max_df_rate"), 0.05, 0.0, 1.0), **filters))
+    return sim.asked(store, sim.similar_fast, number, weights, top, shared, column, features, pool, sim.bounded_float(params.get("max_df_rate"), 0.05, 0.0, 1.0), **filters)
 
 
 @route("/api/compare-n")
 def compare(store: Store, params: dict) -> DataFrame:
     rate = None if _flag(params, "exact") else sim.bounded_float(params.get("max_df_rate"), 0.05, 0.0, 1.0)
-    return store.sql(sim.compare_n(_song(store, params.get("song_id")), tuple(_lengths(params)), sim.bounded_int(params.get("top_k"), 5, 1, 20), sim.bounded_int(params.get("min_shared"), 2, 1, 500), rate))
+    return sim.asked(store, sim.compare_n, _song(store, params.get("song_id")), tuple(_lengths(params)), sim.bounded_int(params.get("top_k"), 5, 1, 20), sim.bounded_int(params.get("min_shared"), 2, 1, 500), rate)
 
 
 @route("/api/explain")
@@ -112,8 +112,8 @@ def explain(store: Store, params: dict) -> DataFrame:
     top = sim.bounded_int(params.get("top_features"), 40, 1, 200)
     part = params.get("part", "features")
     if part == "by_n":
-        return store.sql(sim.explain_by_n(a, b, weights))
-    return store.sql((sim.explain_unique if part == "unique_query" else sim.explain_features)(a, b, weights, top))
+        return sim.asked(store, sim.explain_by_n, a, b, weights)
+    return sim.asked(store, sim.explain_unique if part == "unique_query" else sim.explain_features, a, b, weights, top)
 
 
 def handle(store: Store, path: str, params: dict) -> tuple[int, list[str]]:

@@ -43,6 +43,8 @@ WIDTH, PERCENT = 5, 75
 CHUNK, FAMILY_CHUNK = 1024, 256
 #: Nodes whose ids may be broadcast for the second reading of texts (some 40 bytes each); more are joined by a shuffle.
 BROADCAST_NODES = 500_000
+#: Rows that go or were repeated, whose hashes may be broadcast (some 30 bytes each); more are joined by a shuffle.
+BROADCAST_FATES = 2_000_000
 
 _RANDOM = np.random.default_rng(20240607)
 _ODD = _RANDOM.integers(0, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -337,8 +339,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     grouped = described.where(F.col("node").isNotNull()).join(named.select("node", "root"), "node").groupBy("root").agg(first.alias("f")).select(F.col("f.h").alias("h"))
     alone = described.where(F.col("node").isNull()).select("h").distinct()
     copies = described.groupBy("h").agg(F.count("*").alias("n"))
-    chosen = shared.staged(grouped.union(alone).join(copies, "h"), "chosen")
+    # Most rows stay as they are: only those that go (n = 0) or were repeated whole meet their texts.
+    marked = copies.join(grouped.union(alone).withColumn("stays", F.lit(True)), "h", "left")
+    fates = shared.staged(marked.select("h", F.when(F.col("stays"), F.col("n")).otherwise(0).alias("n")).where("n <> 1"), "fates")
     text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.lit(0), text).alias("h")).join(chosen, "h")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.lit(0), text).alias("h"))
+    # The size is checked; without the hint Spark joins by a shuffle of the texts.
+    rows = rows.join(F.broadcast(fates) if fates.count() <= BROADCAST_FATES else fates, "h", "left")
     once = rows.where("n > 1").groupBy("h").agg(F.first("row").alias("row"))
-    return rows.where("n = 1").select("row.*").union(once.select("row.*"))
+    return rows.where("n IS NULL").select("row.*").union(once.select("row.*"))

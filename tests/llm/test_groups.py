@@ -99,6 +99,23 @@ def test_one_of_each_tells_rows_by_id_and_text(spark):
     assert rows == {(1, a), (2, b), (None, "")} and minhash.one_of_each(docs).count() == 3
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_one_of_each_sends_no_texts(spark, monkeypatch, most):
+    """The texts of rows that stay meet a table of those that go; only a large one is joined by a shuffle. Both give the same rows."""
+    monkeypatch.setattr(minhash, "BROADCAST_FATES", most)
+    monkeypatch.setattr(minhash, "BROADCAST_NODES", 1000)
+    texts = [" ".join(f"w{i // 2}x{k}" for k in range(12)) for i in range(40)]
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (50, None)], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = minhash.one_of_each(docs)
+        assert sorted(r.doc_id for r in kept.collect()) == [*range(0, 40, 2), 50]
+        plan = kept._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert ("SortMergeJoin" in plan) == (most == 0)
+
+
 def test_many_rows_without_an_id(spark):
     """Null ids are no key: the work is linear in the rows."""
     docs = spark.range(20_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat_ws(' ', 'w', id % 10000, id % 10000 + 1, 'x', id % 10000, 'y') AS text")
